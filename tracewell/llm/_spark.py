@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,9 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracewell/{uuid.uuid4().hex}"
+    path, schema = f"{shared_dir(spark)}/tracewell/{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()  # so that Spark removes the shuffle files of steps that nothing refers to any more
+    return spark.read.schema(schema).parquet(path)
 
 
 def dropped(*frames: DataFrame) -> None:
