@@ -458,7 +458,7 @@ def unit_facts(units: DataFrame, headers: DataFrame, limit_bytes: int = 256 << 2
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for tu, text in zip(b["tu"], b["text"], strict=True):
-                yield pd.DataFrame([*rows(tu, text)], columns=names, dtype=object)
+                yield pd.DataFrame([[r.get(n) for n in names] for r in rows(tu, text)], columns=names, dtype=object)
 
     return units.select("tu", "text").mapInPandas(run, FACTS)
 
