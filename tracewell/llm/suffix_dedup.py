@@ -28,6 +28,7 @@ were removed goes as a whole.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -301,8 +302,10 @@ def dedup_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str | None = None) -> DataFrame:
     """docs with what repeats cut out of text, and the number of characters left in the column named by size, if any."""
-    found = repeated_strings(docs, key, text).withColumnsRenamed({"k": "_fk", "th": "_fth", "found": "_found"})
-    both = docs.join(found, docs[key].eqNullSafe(F.col("_fk")) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == F.col("_fth")), "left").select(*(docs[c] for c in docs.columns), "_found")
+    own = uuid.uuid4().hex  # names that no column of docs has
+    found = repeated_strings(docs, key, text).toDF(*(f"{c}_{own}" for c in ("k", "th", "found")))
+    here = docs[key].eqNullSafe(found[f"k_{own}"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == found[f"th_{own}"])
+    both = docs.join(found, here, "left").select(*(docs[c] for c in docs.columns), found[f"found_{own}"])
     at, names, kinds = docs.columns.index(text), docs.columns, [f.dataType.simpleString() for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
