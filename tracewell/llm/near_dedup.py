@@ -8,15 +8,14 @@ Steps, none of which holds a group of copies in one task or lists all pairs of a
 
 1. One pass over the texts gives each document its number of shingles, a 128-bit identity of its shingle set and its
    signature. Documents with equal sets are one from here on (the smallest id stands for them).
-2. A bucket links its members to its smallest member. These candidates are confirmed on the full sets,
-   and the confirmed ones contracted to components.
-3. Buckets that still hold several components: members outside the leader's component are compared by signature with
-   the others, in blocks, and the most alike of each foreign component are confirmed; the lists get longer each
-   round until no list was cut short and nothing is left to confirm. So each bucket's pair is confirmed, in one
-   component already, or far under the threshold by its whole signature.
+2. A bucket links its members to its smallest member. Candidates whose signatures are far under the threshold go; the others
+   are confirmed on the full sets, and the confirmed ones contracted to components.
+3. Components that a candidate pair joins without a confirmed link form a group. In a group, every member outside its largest
+   component is compared with all members of other components, in blocks, by signature, then by full sets; the first link
+   to each component is enough. So what the star of step 2 misses is found, with each document once and not once a table.
 
-A pair at the threshold of 0.85 shares no table with probability 2*(1-0.85**2)**10 = 5e-6, and has a
-signature under the cut of step 3 with about 1e-5; both fall fast above it.
+A pair at the threshold of 0.85 shares no table with probability 2*(1-0.85**2)**10 = 5e-6, and has signatures
+under the cut of AGREE with about 1e-5 (20 to 24 of 40 places agree where 34 are expected); both fall fast above it.
 
 Defined results: null and empty texts, and those of white space alone, have no shingles and are linked
 with nothing; fewer words than a shingle give one shingle; texts are read whole; a row with a null
@@ -27,7 +26,6 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +38,9 @@ from tracewell.llm._spark import dropped, stored, table
 
 GROUPS, ROWS = 10, 2
 HASHES = 2 * GROUPS * ROWS
-#: Signatures that agree in fewer places aren't confirmed in step 3.
+#: Signatures that agree in a smaller share of places aren't confirmed.
 AGREE = 0.6
-#: Members of a bucket that are compared at once.
+#: Members of a group that are compared at once.
 BLOCK = 2_048
 U64 = np.uint64
 _rng = np.random.default_rng(11)
@@ -102,84 +100,109 @@ def _keys(reps: DataFrame) -> DataFrame:
 
 
 def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in AGREE of their places at least."""
+    kind = reps.schema["rep"].dataType.simpleString()
+    side = lambda n: reps.select(F.col("rep").alias(n), F.col("sig").alias(f"s{n}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for c in (2, 3))
+            ok = pa.array((a == b).sum(axis=1) >= AGREE * HASHES)
+            yield pa.RecordBatch.from_arrays([x.column(c).filter(ok) for c in (0, 1)], ["a", "b"])
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are alike enough; docs is (k, t) with a row a key."""
+    """a, b, ok: whether the full shingle sets of the pairs are alike enough; docs is (k, t) with a row a key."""
     kind = docs.schema["k"].dataType.simpleString()
     left = pairs.join(docs.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a")
     both = left.join(docs.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for row, offs, data in _text.slices(b.column(2)):
-                rows = len(offs) - 1
+        for x in batches:
+            keep: list[bool] = []
+            for row, offs, data in _text.slices(x.column(2)):
                 h, at = _text.shingle_hashes(data, offs, size)
-                last, b_set = None, np.zeros(0, np.uint64)
-                for d in range(rows):
-                    other = b.column(3)[row + d]
-                    if last is None or other.as_py() != last:
-                        last = other.as_py()
-                        x = np.frombuffer(last.encode(), dtype=np.uint8)
-                        b_set = np.unique(_text.shingle_hashes(x, np.array([0, len(x)]), size)[0])
-                    keep.append(jaccard_at_least(np.unique(h[at[d] : at[d + 1]]), b_set, percent))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], ["a", "b", "ok"])
+                last, other = None, np.zeros(0, np.uint64)
+                for d in range(len(offs) - 1):
+                    key = x.column(1)[row + d].as_py()
+                    if d == 0 or key != last:  # rows come sorted by b
+                        last, t = key, np.frombuffer(x.column(3)[row + d].as_py().encode(), dtype=np.uint8)
+                        other = np.unique(_text.shingle_hashes(t, np.array([0, len(t)]), size)[0])
+                    keep.append(jaccard_at_least(np.unique(h[at[d] : at[d + 1]]), other, percent))
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(keep, pa.bool_())], ["a", "b", "ok"])
 
     return both.mapInArrow(run, f"a {kind}, b {kind}, ok boolean")
 
 
-def _across(rows: DataFrame, longest: int) -> DataFrame:
-    """a, b, cut: for each outsider and foreign component of a block, the most alike members.
+def _with_sets(rows: DataFrame, size: int) -> DataFrame:
+    """grp, rep, comp, sig and the shingle set (sorted 64-bit hashes) of rows (grp, rep, comp, sig, t)."""
+    kind = rows.schema["rep"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for row, offs, data in _text.slices(x.column(4)):
+                h, at = _text.shingle_hashes(data, offs, size)
+                sets = [np.unique(h[at[d] : at[d + 1]]).tobytes() for d in range(len(offs) - 1)]
+                yield pa.RecordBatch.from_arrays([*(x.column(c).slice(row, len(sets)) for c in range(4)), pa.array(sets, pa.binary())], ["grp", "rep", "comp", "sig", "set"])
+
+    return rows.mapInArrow(run, f"grp {kind}, rep {kind}, comp {kind}, sig binary, set binary")
 
-    rows: place (bucket and block), out, rep, comp, sig; sorted here by place, outsiders first.
+
+def _links_across(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: for each outsider and each foreign component in a block, the first member that it links to, if any does.
+
+    rows: grp, block, part, out, rep, comp, sig, set; a place (grp, block, part) has at most BLOCK members and BLOCK outsiders.
     """
     kind = rows.schema["rep"].dataType.simpleString()
+    places = ["grp", "block", "part"]
 
-    def block(part: pa.Table) -> Iterator[tuple]:
-        out = part.column("out").to_numpy(zero_copy_only=False)
-        reps, comps = part.column("rep").to_numpy(), part.column("comp").to_numpy()
-        sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+    def across(p: pa.Table) -> Iterator[tuple]:
+        out = p["out"].to_numpy(zero_copy_only=False)
+        rep, comp = p["rep"].to_pylist(), np.array(p["comp"].to_pylist())
+        sig = np.frombuffer(b"".join(p["sig"].to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in p["set"].to_pylist()]
         inside = np.flatnonzero(~out)
+        sizes = np.array([len(x) for x in sets])
         for u in np.flatnonzero(out):
-            alike = (sig[inside] == sig[u]).sum(axis=1)
-            ok = (alike >= AGREE * HASHES) & (comps[inside] != comps[u]) & (reps[inside] != reps[u])
-            at, alike = inside[ok], alike[ok]
-            order = np.lexsort((reps[at], -alike, comps[at]))
-            at = at[order]
-            rank = np.arange(len(at)) - np.searchsorted(comps[at], comps[at], side="left")
-            for v, r in zip(at, rank, strict=True):
-                if r < longest:
-                    yield max(reps[u], reps[v]), min(reps[u], reps[v]), False
-                elif r == longest:
-                    yield max(reps[u], reps[v]), min(reps[u], reps[v]), True
+            near = (sig[inside] == sig[u]).sum(axis=1) >= AGREE * HASHES
+            near &= (comp[inside] != comp[u]) & (100 * np.minimum(sizes[inside], sizes[u]) >= percent * np.maximum(sizes[inside], sizes[u]))
+            done = set()
+            for v in inside[near]:
+                if comp[v] not in done and jaccard_at_least(sets[u], sets[v], percent):
+                    done.add(comp[v])
+                    yield max(rep[u], rep[v]), min(rep[u], rep[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            found = [*block(pa.Table.from_batches(parts))]
-            a, b, cut = zip(*found, strict=True) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, rows_type), pa.array(b, rows_type), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
+        def done() -> pa.RecordBatch:
+            found = [*across(pa.Table.from_batches(held))]
+            of = held[0].schema.field("rep").type
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], of), pa.array([x[1] for x in found], of)], ["a", "b"])
 
-        rows_type = pa.int64()
-        for b in batches:
-            rows_type = b.schema.field("rep").type
-            place = [x.to_numpy(zero_copy_only=False) for x in (b.column(0), b.column(1))]
-            edges = np.flatnonzero((place[0][1:] != place[0][:-1]) | (place[1][1:] != place[1][:-1])) + 1
-            cuts = [0, *edges.tolist(), b.num_rows]
+        for x in batches:
+            place = [x.column(c).to_pylist() for c in range(3)]
+            now = [*zip(*place, strict=True)]
+            cuts = [0, *(i for i in range(1, len(now)) if now[i] != now[i - 1]), len(now)]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                part = b.slice(s, e - s)
-                if held and (held[-1].column(0)[-1] != part.column(0)[0] or held[-1].column(1)[-1] != part.column(1)[0]):
-                    yield done(held)
+                if held and tuple(held[-1].column(c)[-1].as_py() for c in range(3)) != now[s]:
+                    yield done()
                     held = []
-                held.append(part)
+                held.append(x.slice(s, e - s))
         if held:
-            yield done(held)
+            yield done()
 
-    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block", F.desc("out"), "rep").mapInArrow(run, f"a {kind}, b {kind}, cut boolean")
+    ordered = rows.select(*places, "out", "rep", "comp", "sig", "set").repartition(*places).sortWithinPartitions(*places)
+    return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -191,37 +214,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     signed = stored(_signed(plain, size))
     named = signed.where("n > 0 and k is not null")
     reps = stored(named.groupBy("s1", "s2").agg(F.min(F.struct("k", "sig")).alias("m")).select("s1", "s2", F.col("m.k").alias("rep"), F.col("m.sig").alias("sig")))
-    texts = plain.where("k is not null and t is not null").dropDuplicates(["k"]) if _repeats(named) else plain.where("k is not null and t is not null")
     keys = _keys(reps)
-    buckets = keys.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = stored(keys.join(buckets, "bucket"))
-    pairs = stored(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
-    tried = [stored(confirmed(pairs, texts, size, percent))]
+    buckets = keys.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
+    pairs = stored(keys.join(buckets, "bucket").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
+    near = stored(_alike(pairs, reps))
     dropped(pairs)
-    longest = 4
-    while True:
-        tested = reduce(DataFrame.unionByName, tried)
-        comp = stored(components(tested.where("ok").select("a", "b")))
-        of = members.join(comp, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "leader", "size", F.coalesce("component", "rep").alias("comp"))
-        mixed = of.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        of = of.join(mixed, "bucket").join(reps.select("rep", "sig"), "rep")
-        lead = of.where("rep = leader").select("bucket", F.col("comp").alias("main"))
-        of = of.join(lead, "bucket").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-        inside = of.select("bucket", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), F.lit(False).alias("out"), "rep", "comp", "sig")
-        outside = of.where("comp <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("out"), "rep", "comp", "sig")
-        listed = stored(_across(inside.unionByName(outside), longest).groupBy("a", "b").agg(F.max("cut").alias("cut")))
-        found = stored(listed.join(tested.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
-        new, cut = found.count(), listed.agg(F.max("cut")).first()[0]
-        if not new and not cut:
-            break
-        if new:
-            tried.append(stored(confirmed(found, texts, size, percent)))
-        dropped(listed, found, comp)
-        longest *= 4
+    # Only the texts of documents in a candidate pair are moved again.
+    wanted = near.select(F.col("a").alias("k")).unionByName(near.select(F.col("b").alias("k"))).distinct()
+    found = plain.where("k is not null and t is not null").join(wanted, "k", "left_semi")
+    texts = stored(found.dropDuplicates(["k"]) if _repeats(named) else found)
+    links = stored(confirmed(near, texts, size, percent).where("ok").select("a", "b"))
+    comp = stored(components(links))
+    named_comp = reps.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp"))
+    of = lambda n: named_comp.select(F.col("rep").alias(n), F.col("comp").alias(f"c{n}"))
+    foreign = stored(near.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if not foreign.isEmpty():
+        groups = stored(components(foreign).select(F.col("node").alias("comp"), F.col("component").alias("grp")))
+        inside = stored(_with_sets(named_comp.join(groups, "comp").join(texts, F.col("rep") == F.col("k")).select("grp", "rep", "comp", "sig", "t"), size))
+        sizes = inside.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+        whole = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).select("grp", F.col("m.comp").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("parts"))
+        each = inside.join(stored(whole), "grp")
+        own = lambda n: F.pmod(F.xxhash64("rep"), n)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        members = each.select("grp", own("blocks").alias("block"), every("parts").alias("part"), F.lit(False).alias("out"), "rep", "comp", "sig", "set")
+        outside = each.where("comp <> main").select("grp", every("blocks").alias("block"), own("parts").alias("part"), F.lit(True).alias("out"), "rep", "comp", "sig", "set")
+        more = stored(_links_across(members.unionByName(outside), percent))
+        comp = stored(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+        dropped(inside)
+    dropped(near, texts)
     sets = reps.join(comp, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("c"))
-    own = signed.join(sets, ["s1", "s2"], "left")
+    own_set = signed.join(sets, ["s1", "s2"], "left")
     c = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("c")).otherwise(F.col("k"))
-    return own.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("k"), F.lit(True)).alias("kept"))
+    return own_set.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), c.alias("component_id"), F.coalesce(c == F.col("k"), F.lit(True)).alias("kept"))
 
 
 def _repeats(named: DataFrame) -> bool:
