@@ -221,7 +221,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     dropped(pairs)
     # Only the texts of documents in a candidate pair are moved again.
     wanted = near.select(F.col("a").alias("k")).unionByName(near.select(F.col("b").alias("k"))).distinct()
-    found = plain.where("k is not null and t is not null").join(wanted, "k", "left_semi")
+    # What is wanted grows with the input, so it isn't broadcast at any size.
+    found = plain.where("k is not null and t is not null").join(wanted.hint("merge"), "k", "left_semi")
     texts = stored(found.dropDuplicates(["k"]) if _repeats(named) else found)
     links = stored(confirmed(near, texts, size, percent).where("ok").select("a", "b"))
     comp = stored(components(links))
