@@ -160,6 +160,21 @@ def test_near_duplicates_equal_brute_force(spark, seed, size, percent):
         assert (got[k].n_shingles, got[k].component_id, got[k].kept) == (n, root, root == k), k
 
 
+@pytest.mark.parametrize("small", [256, 0])
+def test_a_pair_hidden_by_other_leaders_is_found(spark, monkeypatch, small):
+    """In each of the 100 buckets that the pair shares, a document unlike both has the smallest id."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    a = [f"w{k}" for k in range(200)]
+    hashes = lambda words: _text.shingle_hashes(t := np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(t)]), 1)[0]
+    each = np.array([near_dedup.minhashes(hashes([w])) for w in a])
+    top = near_dedup.minhashes(hashes(a))
+    first = [[a[np.flatnonzero(each[:, c] == top[c])[0]] for c in range(near_dedup.ROWS * g, near_dedup.ROWS * (g + 1))] for g in range(2 * near_dedup.GROUPS)]
+    leaders = [" ".join(dict.fromkeys(x + y)) for x in first[: near_dedup.GROUPS] for y in first[near_dedup.GROUPS :]]
+    texts = [*leaders, " ".join(a), " ".join(a + ["more", "words"])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs_of(spark, texts), size=1, percent=85).collect()}
+    assert [got[k] for k in range(len(texts))] == [root for _, root in brute_near(texts, 1, 85)] and got[101] == 100
+
+
 def test_near_duplicates_edge_cases(spark):
     assert near_dedup.near_duplicates(empty(spark)).collect() == []
     df = spark.createDataFrame([(2, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, None)], "doc_id long, text string")

@@ -10,9 +10,12 @@ Steps, none of which holds a group of copies in one task or lists all pairs of a
    signature. Documents with equal sets are one from here on (the smallest id stands for them).
 2. A bucket links its members to its smallest member. Candidates whose signatures are far under the threshold go; the others
    are confirmed on the full sets, and the confirmed ones contracted to components.
-3. Components that a candidate pair joins without a confirmed link form a group. In a group, every member outside its largest
-   component is compared with all members of other components, in blocks, by signature, then by full sets; the first link
-   to each component is enough. So what the star of step 2 misses is found, with each document once and not once a table.
+3. In every bucket whose members, but for the smallest, still belong to several components, all pairs of members of different
+   components are compared by signature, buckets of the same members once. So a pair that shares a bucket is compared whatever
+   the smallest member of it is like.
+4. Components that a candidate pair of step 2 or 3 joins without a confirmed link form a group. In a group, every member outside
+   its largest component is compared with all members of other components, in blocks, by signature, then by full sets, unless
+   links of the block join their components already.
 
 A pair at the threshold of 0.85 shares no table with probability 2*(1-0.85**2)**10 = 5e-6, and has signatures
 under the cut of AGREE with about 1e-5 (20 to 24 of 40 places agree where 34 are expected); both fall fast above it.
@@ -42,6 +45,8 @@ HASHES = 2 * GROUPS * ROWS
 AGREE = 0.6
 #: Members of a group that are compared at once.
 BLOCK = 2_048
+#: Buckets of at most so many members are compared many at once, larger ones in blocks; the result is the same.
+SMALL = 256
 U64 = np.uint64
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64) * U64(2) + U64(1)
@@ -68,7 +73,7 @@ def table_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """k, n, s1, s2 and the signature of rows (k, t)."""
+    """k, n, s1, s2, the signature and its low bytes of rows (k, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,14 +81,16 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
                 h, at = _text.shingle_hashes(data, offs, size)
                 docs = len(offs) - 1
                 n, s, sig = np.zeros(docs, np.int64), np.zeros((2, docs), np.uint64), [b""] * docs
+                brief = [b""] * docs
                 for d in range(docs):
                     u = np.unique(h[at[d] : at[d + 1]])
                     if n_ := len(u):
                         n[d], s[0, d], s[1, d] = n_, _text.mix(u).sum(dtype=np.uint64), _text.mix(u ^ U64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-                        sig[d] = minhashes(u).tobytes()
-                yield pa.RecordBatch.from_arrays([b.column(0)[row : row + docs], pa.array(n), pa.array(s[0].view(np.int64)), pa.array(s[1].view(np.int64)), pa.array(sig, pa.binary())], ["k", "n", "s1", "s2", "sig"])
+                        places = minhashes(u)
+                        sig[d], brief[d] = places.tobytes(), places.astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([b.column(0)[row : row + docs], pa.array(n), pa.array(s[0].view(np.int64)), pa.array(s[1].view(np.int64)), pa.array(sig, pa.binary()), pa.array(brief, pa.binary())], ["k", "n", "s1", "s2", "sig", "brief"])
 
-    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, n long, s1 long, s2 long, sig binary")
+    return docs.mapInArrow(run, f"k {docs.schema['k'].dataType.simpleString()}, n long, s1 long, s2 long, sig binary, brief binary")
 
 
 def _keys(reps: DataFrame) -> DataFrame:
@@ -157,28 +164,131 @@ def _with_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, f"grp {kind}, rep {kind}, comp {kind}, sig binary, set binary")
 
 
+class Joined:
+    """Which components are joined so far, by union-find: a further link within one joined set changes no result."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x):
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x, y) -> bool:
+        """Whether x and y weren't joined before."""
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
+
+
+def _in_blocks(each: DataFrame) -> DataFrame:
+    """The rows (grp, rep, comp and others) with block, part and out, as _links_across wants them."""
+    sizes = each.groupBy("grp", "comp").agg(F.count("*").alias("n"))
+    whole = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).select("grp", F.col("m.comp").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("parts"))
+    placed = each.join(stored(whole), "grp")
+    own = lambda n: F.pmod(F.xxhash64("rep"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    rest = [c for c in each.columns if c != "grp"]
+    members = placed.select("grp", own("blocks").alias("block"), every("parts").alias("part"), F.lit(False).alias("out"), *rest)
+    outside = placed.where("comp <> main").select("grp", every("blocks").alias("block"), own("parts").alias("part"), F.lit(True).alias("out"), *rest)
+    return members.unionByName(outside)
+
+
+def _alike_in_small(rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join the components with members in one group whose sizes and low bytes of the signatures are near enough.
+
+    rows: grp, comp, size, brief; all pairs in a group are compared, those at one distance in the sorted rows at a time.
+    """
+    kind = rows.schema["comp"].dataType.simpleString()
+
+    def pairs(p: pa.Table) -> pa.RecordBatch:
+        grp, size = p["grp"].to_numpy(), p["size"].to_numpy()
+        comps = p["comp"].combine_chunks()
+        comp = comps.dictionary_encode().indices.to_numpy()
+        sig = np.frombuffer(b"".join(p["brief"].to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+        at, found = np.arange(len(grp)), []
+        for d in range(1, len(grp)):
+            at = at[: np.searchsorted(at, len(grp) - d)]
+            at = at[grp[at] == grp[at + d]]
+            if not len(at):
+                break
+            u = at[(comp[at] != comp[at + d]) & (100 * np.minimum(size[at], size[at + d]) >= percent * np.maximum(size[at], size[at + d]))]
+            u = u[(sig[u] == sig[u + d]).sum(axis=1) >= AGREE * HASHES]
+            found.append(np.stack([u, u + d], axis=1))
+        found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        if len(found):
+            found = found[np.unique(np.sort(comp[found], axis=1), axis=0, return_index=True)[1]]
+            joined = Joined()
+            found = found[[joined.join(x, y) for x, y in comp[found].tolist()]]
+        return pa.RecordBatch.from_arrays([comps.take(pa.array(found[:, c])) for c in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for x in batches:
+            if not x.num_rows:
+                continue
+            grp = x.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(grp, grp[-1]))  # the last group may go on in the next batch
+            if cut or held and held[-1].column(0)[-1].as_py() != grp[0]:
+                yield pairs(pa.Table.from_batches([*held, x.slice(0, cut)]))
+                held = []
+            held.append(x.slice(cut))
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    return rows.select("grp", "comp", "size", "brief").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _across_buckets(members: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join the components of which members share a bucket and are alike by signature; the star has judged pairs with the leader.
+
+    members: rep, bucket, leader, size of all buckets of more than one; named: rep, comp, n, brief.
+    """
+    rest = members.where("size > 2 and rep <> leader").select("bucket", "rep")
+    rest = stored(rest.join(named.select("rep", "comp"), "rep").distinct())
+    digest = [F.sum(F.xxhash64("rep", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"d{k}") for k in (0, 1)]
+    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), *digest).where("lo <> hi")
+    once = stored(mixed.groupBy("n", "d0", "d1").agg(F.min("bucket").alias("bucket")))
+    each = rest.join(once.select("bucket", "n"), "bucket").select(F.col("bucket").alias("grp"), "rep", "comp", F.col("n").alias("many"))
+    each = stored(each.join(named.select("rep", F.col("n").alias("size"), "brief"), "rep"))
+    small = _alike_in_small(each.where(F.col("many") <= SMALL), percent)
+    large = each.where(F.col("many") > SMALL).drop("many")
+    out = small
+    if not large.isEmpty():
+        found = _links_across(_in_blocks(large), percent)
+        comp = lambda n: named.select(F.col("rep").alias(n), F.col("comp").alias(f"c{n}"))
+        out = small.unionByName(found.join(comp("a"), "a").join(comp("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    out = stored(out.distinct())
+    dropped(rest, once, each)
+    return out
+
+
 def _links_across(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: for each outsider and each foreign component in a block, the first member that it links to, if any does.
+    """a, b: links of outsiders to members of foreign components in a block, as many as join all components that such links join.
 
     rows: grp, block, part, out, rep, comp, sig, set; a place (grp, block, part) has at most BLOCK members and BLOCK outsiders.
+    With size and brief in place of sig and set, a link is likeness by size and the low bytes of the signatures.
     """
     kind = rows.schema["rep"].dataType.simpleString()
     places = ["grp", "block", "part"]
+    full = "set" in rows.columns
 
     def across(p: pa.Table) -> Iterator[tuple]:
         out = p["out"].to_numpy(zero_copy_only=False)
         rep, comp = p["rep"].to_pylist(), np.array(p["comp"].to_pylist())
-        sig = np.frombuffer(b"".join(p["sig"].to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
-        sets = [np.frombuffer(x, dtype=np.uint64) for x in p["set"].to_pylist()]
+        sig = np.frombuffer(b"".join(p["sig" if full else "brief"].to_pylist()), dtype=np.uint32 if full else np.uint8).reshape(-1, HASHES)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in p["set"].to_pylist()] if full else []
         inside = np.flatnonzero(~out)
-        sizes = np.array([len(x) for x in sets])
+        sizes = np.array([len(x) for x in sets]) if full else p["size"].to_numpy()
+        joined = Joined()
         for u in np.flatnonzero(out):
             near = (sig[inside] == sig[u]).sum(axis=1) >= AGREE * HASHES
             near &= (comp[inside] != comp[u]) & (100 * np.minimum(sizes[inside], sizes[u]) >= percent * np.maximum(sizes[inside], sizes[u]))
-            done = set()
             for v in inside[near]:
-                if comp[v] not in done and jaccard_at_least(sets[u], sets[v], percent):
-                    done.add(comp[v])
+                if joined.root(comp[u]) != joined.root(comp[v]) and (not full or jaccard_at_least(sets[u], sets[v], percent)):
+                    joined.join(comp[u], comp[v])
                     yield max(rep[u], rep[v]), min(rep[u], rep[v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +311,7 @@ def _links_across(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield done()
 
-    ordered = rows.select(*places, "out", "rep", "comp", "sig", "set").repartition(*places).sortWithinPartitions(*places)
+    ordered = rows.select(*places, "out", "rep", "comp", *(("sig", "set") if full else ("size", "brief"))).repartition(*places).sortWithinPartitions(*places)
     return ordered.mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -213,10 +323,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     plain = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     signed = stored(_signed(plain, size))
     named = signed.where("n > 0 and k is not null")
-    reps = stored(named.groupBy("s1", "s2").agg(F.min(F.struct("k", "sig")).alias("m")).select("s1", "s2", F.col("m.k").alias("rep"), F.col("m.sig").alias("sig")))
+    reps = stored(named.groupBy("s1", "s2").agg(F.min(F.struct("k", "sig", "n", "brief")).alias("m")).select("s1", "s2", F.col("m.k").alias("rep"), "m.sig", "m.n", "m.brief"))
     keys = _keys(reps)
-    buckets = keys.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
-    pairs = stored(keys.join(buckets, "bucket").where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
+    buckets = keys.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    members = stored(keys.join(buckets, "bucket"))
+    pairs = stored(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
     near = stored(_alike(pairs, reps))
     dropped(pairs)
     # Only the texts of documents in a candidate pair are moved again.
@@ -226,20 +337,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     texts = stored(found.dropDuplicates(["k"]) if _repeats(named) else found)
     links = stored(confirmed(near, texts, size, percent).where("ok").select("a", "b"))
     comp = stored(components(links))
-    named_comp = reps.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "sig", F.coalesce("component", "rep").alias("comp"))
+    named_comp = reps.join(comp, F.col("rep") == F.col("node"), "left").select("rep", "sig", "n", "brief", F.coalesce("component", "rep").alias("comp"))
     of = lambda n: named_comp.select(F.col("rep").alias(n), F.col("comp").alias(f"c{n}"))
-    foreign = stored(near.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    foreign = near.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    beside = _across_buckets(members, named_comp, percent)
+    dropped(members)
+    foreign = stored(foreign.unionByName(beside).distinct())
     if not foreign.isEmpty():
         groups = stored(components(foreign).select(F.col("node").alias("comp"), F.col("component").alias("grp")))
-        inside = stored(_with_sets(named_comp.join(groups, "comp").join(texts, F.col("rep") == F.col("k")).select("grp", "rep", "comp", "sig", "t"), size))
-        sizes = inside.groupBy("grp", "comp").agg(F.count("*").alias("n"))
-        whole = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("all")).select("grp", F.col("m.comp").alias("main"), F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("parts"))
-        each = inside.join(stored(whole), "grp")
-        own = lambda n: F.pmod(F.xxhash64("rep"), n)
-        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        members = each.select("grp", own("blocks").alias("block"), every("parts").alias("part"), F.lit(False).alias("out"), "rep", "comp", "sig", "set")
-        outside = each.where("comp <> main").select("grp", every("blocks").alias("block"), own("parts").alias("part"), F.lit(True).alias("out"), "rep", "comp", "sig", "set")
-        more = stored(_links_across(members.unionByName(outside), percent))
+        grouped = stored(named_comp.join(groups, "comp").select("grp", "rep", "comp", "sig"))
+        unread = grouped.select(F.col("rep").alias("k")).join(texts.select("k"), "k", "left_anti").distinct()
+        others = plain.where("k is not null and t is not null").join(unread.hint("merge"), "k", "left_semi").dropDuplicates(["k"])
+        inside = stored(_with_sets(grouped.join(texts.unionByName(others), F.col("rep") == F.col("k")).select("grp", "rep", "comp", "sig", "t"), size))
+        more = stored(_links_across(_in_blocks(inside), percent))
         comp = stored(components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
         dropped(inside)
     dropped(near, texts)
