@@ -449,6 +449,19 @@ def test_mixing_meets_its_targets(spark, monkeypatch):
     assert mixing.calibrated(empty(spark)).collect() == []
 
 
+def test_many_cells_are_raked_as_few_are(spark, monkeypatch):
+    """Sparse cells, which converge slowly: both paths do the same rounds."""
+    rng = random.Random(11)
+    rows = [(k, f"s{k // 2}", rng.choice(["en", "de", "fr"]), rng.choice("abcd"), rng.randint(1, 1000)) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n long").withColumn("text", F.lit("x"))
+    monkeypatch.setattr(mixing, "ROUNDS", 16)
+    options = {"topic": "topic", "tokens": "n", "share": 0.3, "targets": {"source": {f"s{k}": float(1 + k % 7) for k in range(40)}}}
+    few = {r.doc_id: r for r in mixing.calibrated(docs, **options).collect()}
+    monkeypatch.setattr(mixing, "CELLS", 0)
+    many = {r.doc_id: r for r in mixing.calibrated(docs, **options).collect()}
+    assert all(np.isclose(many[k]._weight, r._weight, rtol=1e-9) and np.isclose(many[k]._probability, r._probability, rtol=1e-9) for k, r in few.items())
+
+
 def test_sampling_repeats_and_columns_stay(spark):
     docs = clashing(mix_docs(spark))
     once, again = mixing.mixed(docs), mixing.mixed(docs.repartition(7))
