@@ -49,6 +49,16 @@ def test_requests(facts):
     assert [x["error"]["code"] for x in said[3:]] == [-32602, -32601, -32700]
 
 
+def test_no_row_is_cut_without_a_word(spark):
+    rows = [(k, 0, "oob", f"f{k}.c", 3, "o", "f", f"oob: {k}", False, k) for k in range(1_100)]
+    f = operations.Facts({"finding": spark.createDataFrame(rows, "id long, state int, kind string, file string, line int, object string, func string, message string, invented_bound boolean, ord long")})
+    e = operations.run("find-bugs", f)
+    assert e.result.count() == 1_100 and e.truncation is None
+    assert len(service.answer(f, "find-bugs", {})["result"]) == 1_100
+    assert all(f"oob: {k}" in e.text(rows=None) for k in (0, 555, 1_099))
+    assert "20 of 1100 shown" in e.text() and "proven" not in e.text().splitlines()[0]
+
+
 def test_findings_carry_their_caveats(spark):
     rows = [(1, 0, "oob", "f.c", 3, "o", "f", "oob: x", False, 1), (2, 0, "oob", "f.c", 4, "o", "f", "oob: y", True, 2)]
     f = operations.Facts({"finding": spark.createDataFrame(rows, "id long, state int, kind string, file string, line int, object string, func string, message string, invented_bound boolean, ord long")})

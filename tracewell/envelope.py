@@ -83,9 +83,16 @@ class Envelope:
             "truncation": None if self.truncation is None else vars(self.truncation), "nondeterministic_abort": self.nondeterministic_abort, **self.notes,
         }
 
-    def text(self, rows: int = 20) -> str:
-        """For people: the first rows, and always the qualification."""
-        shown = [" | ".join(f"{c}={r[c]}" for c in self.result.columns) for r in self.result.limit(rows).collect()]
+    def text(self, rows: int | None = 20) -> str:
+        """For people: the first rows (all if rows is None), and always the qualification, in which rows left out here count."""
+        found = self.result.toLocalIterator() if rows is None else self.result.limit(rows + 1).collect()
+        shown = [" | ".join(f"{c}={r[c]}" for c in self.result.columns) for r in found]
+        if rows is not None and len(shown) > rows:
+            cut = self.truncated(self.truncation.total if self.truncation else self.result.count(), rows, None)
+            return cut._said(shown[:rows])
+        return self._said(shown)
+
+    def _said(self, shown: list[str]) -> str:
         lines = [f"{self.operation}: {self.fidelity.name}{', proven' if self.proven else ''}", *(f"  {x}" for x in shown or ["(nothing)"])]
         lines += [f"  assuming {a}" for a in self.assumptions] + [f"  not seen: {b}" for b in self.blind_spots]
         if self.truncation:

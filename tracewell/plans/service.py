@@ -16,13 +16,11 @@ from pyspark.sql.utils import AnalysisException
 
 from tracewell.plans.operations import OPERATIONS, Facts, RequestError, run
 
-ROWS = 1_000
-
 
 def answer(facts: Facts, name: str, arguments: dict[str, Any]) -> dict[str, Any]:
-    """The envelope of an operation as one JSON object, with at most ROWS rows and the key of all of them."""
+    """The envelope of an operation as one JSON object, with all its rows and their key."""
     e = run(name, facts, **arguments)
-    rows = [json.loads(r["json"]) for r in e.body().limit(ROWS).collect()]
+    rows = [json.loads(r["json"]) for r in e.body().toLocalIterator()]
     return e.head() | {"result": rows, "determinism_key": e.key().first()["determinism_key"]}
 
 
@@ -86,7 +84,7 @@ def main(args: list[str]) -> int:
         return 0
     try:
         given = dict(a.split("=", 1) for a in args[2:])
-        print(run(args[1], facts, **{k: int(v) if v.lstrip("-").isdigit() else v for k, v in given.items()}).text())
+        print(run(args[1], facts, **{k: int(v) if v.lstrip("-").isdigit() else v for k, v in given.items()}).text(rows=None))
         return 0
     except (RequestError, ValueError, IndexError) as e:
         print(e, file=sys.stderr)
