@@ -381,6 +381,17 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs_of(spark, texts), bench.limit(0)).collect() == []
 
 
+def test_leaks_with_coinciding_numbers_few_words_or_long_items(spark):
+    rng = random.Random(12)
+    long = prose(rng, 2_000)
+    items = ["a box has 3 red and 3 blue balls, how many balls are in the box", "Compute 12 + 34 - 56 * 78 / 9", long, "zyx wvu 17", "then the road from Berlin goes on and on until Berlin is far behind us all and nothing but the open fields lies there in the sun"]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    texts = [items[0].replace("3", "5", 1).replace("3", "7"), f"x {items[1]} y", "Compute 12 + 34 - 56 * 78 / 8", prose(rng, 50) + " " + " ".join(long.split()[700:800]), "so zyx wvu 17 is", "so zyx wvu 18 is", items[4].replace("Berlin", "Madrid", 1)]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert {*got} == {(0, 0), (1, 1), (3, 2), (4, 3), (6, 4)}
+    assert [k for k, r in sorted(got.items()) if r.exact] == [(1, 1), (3, 2), (4, 3)] and got[3, 2].n_matched == 93
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 PAGE = "page_id long, url string, html string"

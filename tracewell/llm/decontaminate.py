@@ -2,13 +2,14 @@
 
 Numbers, names and units in a text become typed placeholders, the rest lower-case words: so a question with other
 numbers or names has the same template. Windows of WINDOW template words of every document are hash-joined
-with those of the benchmark. A match yields the values that stand in the placeholders on both sides; they are
-consistent if, over all windows of one alignment, equal values of the benchmark stand for equal values of
-the document. Consistent alignments count: the document holds the item, exactly or re-parameterised.
+with those of the benchmark. A match yields the values that stand in the placeholders on both sides. A name or unit of
+the benchmark that stands, in one alignment, for two values of the document is inconsistent, and the windows that hold it
+don't count. Equal numbers stand for different ones freely, as small numbers coincide often.
 
-A document leaks an item if it has at least SHARE of the item's windows. Items shorter than a window are one
-window of their own length; those of fewer than SHORTEST words, and windows with fewer than WORDS words that
-aren't placeholders, say too little to match. SQL functions only.
+A document leaks an item if it has at least SHARE of the item's windows, or of those that match by their template, or
+ENOUGH of them. Items shorter than a window are one window of their own length. Windows with fewer
+than WORDS words that aren't placeholders, and so items of fewer words, say too little as templates: they match by
+their values. SQL functions only.
 
 Defined results: null and empty texts, on either side, match nothing; texts are read whole; items with
 equal text are each reported; repeated rows of a document are judged together; rows with a null key are judged
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 
 from tracewell.llm._spark import stored, table
 
-WINDOW, SHORTEST, WORDS = 8, 4, 4
+WINDOW, WORDS = 8, 4
 SHARE = 0.1
+#: Matched windows that suffice however long the item is: a passage of 30 words.
+ENOUGH = 23
 #: Windows of the benchmark up to this number are broadcast; more are joined by a shuffle.
 FEW = 200_000
 
@@ -50,34 +53,34 @@ def template(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame, size: int) -> DataFrame:
-    """k, pos, h and values of the windows of rows (k, ws)."""
+    """k, pos, h, values and rich (h is of the template, not of the values) of the windows of rows (k, ws)."""
     w = F.col("ws")
     zipped = F.arrays_zip(*(F.slice(w, n + 1, F.greatest(F.size(w), F.lit(1))).alias(f"w{n}") for n in range(size)))
     whole = F.filter(zipped, lambda x: x[f"w{size - 1}"].isNotNull())
 
     def window(x: Column, i: Column) -> Column:
         words = [x[f"w{n}"] for n in range(size)]
-        return F.struct(F.xxhash64(*(y["w"] for y in words)).alias("h"), i.alias("pos"), F.concat_ws("\x01", *(y["v"] for y in words)).alias("values"))
+        rich = sum((y["v"].isNull().cast("int") for y in words), F.lit(0)) >= WORDS
+        h = F.when(rich, F.xxhash64(*(y["w"] for y in words))).otherwise(F.xxhash64(F.lit("values"), *(F.coalesce(y["v"], y["w"]) for y in words)))
+        return F.struct(h.alias("h"), i.alias("pos"), F.concat_ws("\x01", *(y["v"] for y in words)).alias("values"), rich.alias("rich"))
 
-    return rows.select("k", F.explode(F.transform(whole, window)).alias("x")).select("k", "x.h", "x.pos", "x.values")
+    return rows.select("k", F.explode(F.transform(whole, window)).alias("x")).select("k", "x.h", "x.pos", "x.values", "x.rich")
 
 
 def _benchmark(items: DataFrame, key: str, text: str) -> tuple[DataFrame, list[int]]:
-    """item, size, h, pos, values and all (number of the item's windows) of the benchmark, and the sizes used."""
-    rows = stored(items.select(F.col(key).alias("k"), template(F.col(text)).alias("ws")).where(F.size("ws") >= SHORTEST))
+    """item, size, h, pos, values, rich, all and all_rich (numbers of the item's windows) of the benchmark, and the sizes used."""
+    rows = stored(items.select(F.col(key).alias("k"), template(F.col(text)).alias("ws")).where(F.size("ws") > 0))
     sizes = sorted(r[0] for r in rows.select(F.least(F.size("ws"), F.lit(WINDOW))).distinct().collect())  # at most WINDOW values
     out = None
     for size in sizes:
         some = rows.where(F.least(F.size("ws"), F.lit(WINDOW)) == size)
         said = some.select("k", F.transform("ws", lambda x: F.struct(x["w"].alias("w"), x["v"].alias("v"))).alias("ws"))
         found = _windows(said, size).withColumn("size", F.lit(size))
-        plain = F.size(F.filter(F.split("values", "\x01"), lambda x: x != ""))
-        found = found.where(size - plain >= min(WORDS, size))
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = _windows(rows, WINDOW).withColumn("size", F.lit(WINDOW))
-    whole = out.groupBy("k").agg(F.count("*").alias("all"))
-    return stored(out.join(whole.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k"))).select(F.col("k").alias("item"), "size", "h", F.col("pos").alias("ipos"), F.col("values").alias("ivalues"), "all")), sizes
+    whole = out.groupBy("k").agg(F.count("*").alias("all"), F.count_if("rich").alias("all_rich"))
+    return stored(out.join(whole.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k"))).select(F.col("k").alias("item"), "size", "h", F.col("pos").alias("ipos"), F.col("values").alias("ivalues"), "rich", "all", "all_rich")), sizes
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
@@ -91,17 +94,18 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     found = None
     for size in sizes or [WINDOW]:
         own = bench.where(F.col("size") == size).drop("size")
-        hit = _windows(rows, size).join(F.broadcast(own) if few else own, "h")
+        hit = _windows(rows, size).drop("rich").join(F.broadcast(own) if few else own, "h")
         found = hit if found is None else found.unionByName(hit)
-    hits = stored(found.select("k", "item", "all", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "values", "ivalues"))
-    slots = hits.where("values <> '' or ivalues <> ''").select("k", "item", "shift", F.explode(F.arrays_zip(F.split("ivalues", "\x01").alias("i"), F.split("values", "\x01").alias("d"))).alias("s")).select("k", "item", "shift", "s.i", "s.d")
+    hits = stored(found.select("k", "item", "all", "all_rich", "rich", "ipos", (F.col("pos") - F.col("ipos")).alias("shift"), "values", "ivalues"))
+    slots = hits.where("rich and (values <> '' or ivalues <> '')").select("k", "item", "shift", F.explode(F.arrays_zip(F.split("ivalues", "\x01").alias("i"), F.split("values", "\x01").alias("d"))).alias("s")).select("k", "item", "shift", "s.i", "s.d")
     slots = slots.groupBy("k", "item", "shift", "i").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    slots = slots.groupBy("k", "item", "shift").agg(F.min(F.col("lo").eqNullSafe(F.col("hi"))).alias("steady"), F.min((F.col("lo").eqNullSafe(F.col("i"))) & F.col("hi").eqNullSafe(F.col("i"))).alias("same"))
+    torn = ~F.col("i").rlike("^[0-9]") & ~F.col("lo").eqNullSafe(F.col("hi"))
+    slots = slots.groupBy("k", "item", "shift").agg(F.collect_set(F.when(torn, F.col("i"))).alias("torn"), F.min((F.col("lo").eqNullSafe(F.col("i"))) & F.col("hi").eqNullSafe(F.col("i"))).alias("same"))
     slots = slots.withColumnsRenamed({"k": "_k", "item": "_item", "shift": "_shift"})
     on = hits["k"].eqNullSafe(slots["_k"]) & hits["item"].eqNullSafe(slots["_item"]) & (hits["shift"] == slots["_shift"])
-    kept = hits.join(slots, on, "left").where(F.coalesce("steady", F.lit(True)))
-    told = kept.groupBy("k", "item").agg(F.max("all").alias("n_windows"), F.countDistinct("ipos").alias("n_matched"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
-    return told.where(F.col("n_matched") >= F.col("n_windows") * share).select(F.col("k").alias(key), F.col("item").alias(item), F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), "exact")
+    kept = hits.join(slots, on, "left").where(~F.col("rich") | ~F.coalesce(F.arrays_overlap(F.split("ivalues", "\x01"), "torn"), F.lit(False)))
+    told = kept.groupBy("k", "item").agg(F.max("all").alias("n_windows"), F.max("all_rich").alias("all_rich"), F.size(F.collect_set("ipos")).alias("n_matched"), F.size(F.collect_set(F.when(F.col("rich"), F.col("ipos")))).alias("n_rich"), F.min(F.coalesce("same", F.lit(True))).alias("exact"))
+    return told.where((F.col("n_matched") >= F.least(F.col("n_windows") * share, F.lit(ENOUGH))) | (F.col("n_rich") > 0) & (F.col("n_rich") >= F.col("all_rich") * share)).select(F.col("k").alias(key), F.col("item").alias(item), F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), "exact")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
