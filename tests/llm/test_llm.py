@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -392,6 +393,107 @@ def test_leaks_with_coinciding_numbers_few_words_or_long_items(spark):
     assert [k for k, r in sorted(got.items()) if r.exact] == [(1, 1), (3, 2), (4, 3)] and got[3, 2].n_matched == 93
 
 
+# Brute force, on plain lists.
+
+
+def brute_template(text):
+    out = []
+    for x in regex.findall(r"[\p{L}\p{M}]+|[0-9]+(?:[.,][0-9]+)*|[%[\p{N}--[0-9]]]+", text or "", flags=regex.V1):
+        if x[0] in "0123456789":
+            out.append("\x01" + x)
+        elif out and out[-1][0] == "\x01" and x.lower() in decontaminate.UNITS:
+            out.append("\x02" + x.lower())
+        else:
+            out.append(("\x03" if regex.match(r"\p{Lu}\p{Ll}", x) else "") + x.lower())
+    return out
+
+
+def brute_leaks(texts, items):
+    found = {}
+    for j, item in enumerate(items):
+        own = brute_template(item)
+        size = min(len(own), decontaminate.WINDOW)
+        if not size:
+            continue
+        shape = lambda w: tuple(x[0] if x[0] < "\x04" else x for x in w)
+        rich = lambda w: sum(x[0] >= "\x04" for x in w) >= decontaminate.WORDS
+        mine = [own[i : i + size] for i in range(len(own) - size + 1)]
+        for d, t in enumerate(texts):
+            ws = brute_template(t)
+            hits = []  # (ipos, shift, item's window, document's window)
+            for p in range(len(ws) - size + 1):
+                w = ws[p : p + size]
+                hits += [(i, p - i, m, w) for i, m in enumerate(mine) if (shape(m) == shape(w) if rich(m) else m == w)]
+            pairs = collections.defaultdict(set)
+            for _, shift, m, w in hits:
+                if rich(m):
+                    for x, y in zip(m, w, strict=True):
+                        if x[0] < "\x04":
+                            pairs[shift, x].add(y)
+            torn = {k for k, v in pairs.items() if k[1][0] != "\x01" and len(v) > 1}
+            left = [h for h in hits if not rich(h[2]) or not any((h[1], x) in torn for x in h[2])]
+            n, n_rich = len({h[0] for h in left}), len({h[0] for h in left if rich(h[2])})
+            all_rich = sum(map(rich, mine))
+            if left and (n >= min(len(mine) * decontaminate.SHARE, decontaminate.ENOUGH) or n_rich and n_rich >= all_rich * decontaminate.SHARE):
+                exact = all(v == {k[1]} for k, v in pairs.items() if k[0] in {h[1] for h in left})
+                found[d, j] = (len(mine), n, exact)
+    return found
+
+
+def parameterised(rng, words=40):
+    """Prose with sentences, names, numbers and units."""
+    out = []
+    for k in range(words):
+        x = rng.random()
+        out.append(rng.choice(["Alice", "Bob", "Berlin"]) if x < 0.1 else f"{rng.randint(1, 60)}{rng.choice(['', ' km', ' %', '.5', 'kg'])}" if x < 0.2 else prose(rng, 1))
+        if k % 9 == 8:
+            out[-1] += "."
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("block", [None, 99])
+def test_leaks_equal_brute_force(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(decontaminate, "BLOCK", block)  # many passes
+    rng = random.Random(21)
+    items = [parameterised(rng, rng.choice([3, 6, 8, 12, 30, 60])) for _ in range(12)] + ["", None, "5 6 7 8 9 10 11 12 13", "Alice Bob Alice Bob Alice", parameterised(rng, 300)]
+    items.append(items[4])
+    swap = lambda t: t.replace("Alice", "Mia").replace("Berlin", "Rome").replace("1", "4")
+    texts = []
+    for k in range(40):
+        item = rng.choice(items) or ""
+        w = item.split()
+        part = " ".join(w[rng.randint(0, len(w) // 2) :])
+        part = rng.choice([lambda t: t, swap, lambda t: t.replace("Alice", "Tom", 1), str.upper, str.lower])(part)
+        texts.append(f"{parameterised(rng, rng.randint(0, 40))} {part} {parameterised(rng, rng.randint(0, 20))}")
+    texts += [None, "", "5 6 7 8 9 10 11 12 13 14", "x", parameterised(rng, 4_000) + " " + items[10] + " " + parameterised(rng, 4_000)]
+    wide = clashing(docs_of(spark, texts))
+    bench = clashing(spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    rows = decontaminate.leaks(wide, bench).collect()
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.exact) for r in rows}
+    want = brute_leaks(texts, items)
+    assert len(rows) == len(got) and got == want and len(got) > 25 and {x[2] for x in got.values()} == {True, False}
+    if not block:
+        twice = decontaminate.leaks(wide.unionByName(wide), bench).collect()
+        assert {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.exact) for r in twice} == want and len(twice) == len(want)
+
+
+def test_names_that_open_a_text_or_sentence_are_placeholders(spark):
+    bench = spark.createDataFrame([(1, "Alice has 12 pens. Alice lends Bob 5 pens and then buys 3 more pens at the shop, how many pens does Alice have?")], "item_id long, text string")
+    texts = ["Maria has 9 pens. Maria lends Tom 4 pens and then buys 2 more pens at the shop, how many pens does Maria have?"]
+    assert [(r.item_id, r.n_matched > 0.6 * r.n_windows, r.exact) for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()] == [(1, True, False)]
+
+
+def test_leaks_with_null_and_repeated_keys(spark):
+    item = "one river ran under seven bridges before it met the sea"
+    docs = spark.createDataFrame([(None, item), (None, "other"), (3, "zz"), (3, item), (4, "zz")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (2, None), (5, item)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()} == {(None, None), (None, 5), (3, None), (3, 5)}
+    assert sorted(map(str, (r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()))) == ["4", "None", "None"]
+    assert decontaminate.leaks(docs.limit(0), bench.limit(0)).collect() == []
+
+
+
 # 8 ------------------------------------------------------------------------------------------------------------------
 
 PAGE = "page_id long, url string, html string"
