@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,19 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+@contextlib.contextmanager
+def files_of_advisory_size(spark: SparkSession) -> Iterator[None]:
+    """Within it, small shuffles are merged to partitions of the advisory size, not to as many as there are cores: loops write few files."""
+    name = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors; removed when the driver ends."""
     spark = df.sparkSession
     path, schema = f"{shared_dir(spark)}/tracewell/{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
+    with files_of_advisory_size(spark):
+        df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     del df
     gc.collect()
     spark._jvm.System.gc()  # so that Spark removes the shuffle files of steps that nothing refers to any more

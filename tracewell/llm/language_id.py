@@ -2,8 +2,8 @@
 
 A text is folded to lower case, each run of characters that aren't letters becomes one blank, and
 the n-grams of 1 to 3 characters are hashed to a fixed number of buckets. The log-probability matrix
-(languages x buckets) is broadcast; a slice of documents is scored by one gather per n-gram size
-and a sum over each document's n-grams, which is the sparse count matrix times that matrix.
+(languages x buckets) is broadcast; a slice of documents is scored at once: the n-grams of all of them are gathered from
+it and summed by document, which is the sparse count matrix times that matrix.
 
 Defined results: null, empty or letterless texts are `und` with score 0; texts are read whole; ties go
 to the language first in order; repeated rows get equal results; with nothing to learn from, all rows are
@@ -29,7 +29,7 @@ SIZES = (1, 2, 3)
 #: Documents of each language that the model is fitted on (chosen by a hash of the key), about.
 TRAIN_DOCS = 4_000
 #: Characters of text that are scored at once; a longer text is scored in parts that add up.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 17
 UND = "und"
 
 
@@ -89,18 +89,69 @@ def fit(docs: DataFrame, key: str, text: str, lang: str, per_language: int = TRA
     return langs, np.column_stack([np.log(counts / counts.sum(axis=1, keepdims=True)), prior]).astype(np.float32)
 
 
+def _folded_batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What `folded` gives for each text, one after the other, and the number of the text of each place."""
+    joined = " \0 ".join(t.replace("\0", " ") for t in texts).lower()
+    c = np.frombuffer(f" {joined} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    letter = _letters()[c]
+    ends = c == 0
+    keep = letter.copy()
+    keep[1:] |= letter[:-1] | ends[:-1]
+    keep[0] = True
+    return np.where(letter, c, 32)[keep].astype(np.uint64), np.cumsum(ends)[keep]
+
+
+def score_batch(texts: list[str], logp: np.ndarray) -> np.ndarray:
+    """Log joint probability of each text (texts x languages); the rows of letterless texts are NaN.
+
+    The sparse matrix of n-gram counts times the matrix of log-probabilities: the rows that the n-grams of all texts
+    name are gathered and summed by text. A slice of the texts holds about SLICE_CHARS; a longer text is scored in parts.
+    """
+    out = np.full((len(texts), len(logp)), np.nan)
+    if not len(logp):
+        return out
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= SLICE_CHARS:
+            size += len(texts[end])
+            end += 1
+        c, doc = _folded_batch(texts[at:end])
+        known = np.flatnonzero(np.bincount(doc, minlength=end - at) > 1)
+        total = np.zeros((end - at, len(logp)))
+        for lo in range(0, len(c), 2 * SLICE_CHARS):
+            for n in SIZES:
+                part = slice(lo, lo + 2 * SLICE_CHARS + n - 1)
+                d = doc[part]
+                inside = d[: len(d) - n + 1] == d[n - 1 :]
+                g, d = grams(c[part], n)[inside], d[: len(d) - n + 1][inside]
+                if not len(g):
+                    continue
+                first = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
+                for k in range(len(logp)):
+                    total[d[first], k] += np.add.reduceat(np.take(logp[k], g), first, dtype=np.float64)
+        out[at + known] = total[known] + logp[:, -1]
+        at = end
+    return out
+
+
 def score_text(text: str | None, logp: np.ndarray) -> np.ndarray | None:
-    """Log joint probability of the text with each language; None without letters."""
-    c = folded(text or "")
-    if len(c) < 2 or not len(logp):
-        return None
-    total = logp[:, -1].astype(np.float64)
-    for at in range(0, len(c), SLICE_CHARS):
-        for size in SIZES:
-            g = grams(c[at : at + SLICE_CHARS + size - 1], size)
-            for k in range(len(logp)):
-                total[k] += np.take(logp[k], g).sum(dtype=np.float64)
-    return total
+    """The same of one text, None without letters."""
+    found = score_batch([text or ""], logp)[0]
+    return None if not len(logp) or np.isnan(found[0]) else found
+
+
+def _decided(column: pa.Array, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the likeliest language of each text of a column, -1 where it can't be told, and its posterior, then 0."""
+    n = len(column)
+    best, score = np.full(n, -1), np.zeros(n)
+    for at in range(0, n, 500):
+        total = score_batch([x.as_py() or "" for x in column.slice(at, 500)], logp)
+        known = np.flatnonzero(~np.isnan(total[:, :1]).any(axis=1)) if total.size else np.zeros(0, dtype=np.int64)
+        top = total[known].max(axis=1, initial=-np.inf)
+        best[at + known] = total[known].argmax(axis=1) if len(known) else 0
+        score[at + known] = 1 / np.exp(total[known] - top[:, None]).sum(axis=1)
+    return best, score
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str, text: str) -> DataFrame:
@@ -111,12 +162,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = [], []
-            for t in b.column(1):
-                total = score_text(t.as_py(), logp.value)
-                best = 0 if total is None else int(total.argmax())
-                names.append(UND if total is None else langs[best])
-                scores.append(0.0 if total is None else float(1 / np.exp(total - total[best]).sum()))
+            best, scores = _decided(b.column(1), logp.value)
+            names = [UND if k < 0 else langs[k] for k in best]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [key, "lang_pred", "score"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
@@ -143,11 +190,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5, **options) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for t in b.column(at):
-                total = score_text(t.as_py(), shared.value)
-                keep.append(total is not None and 1 / np.exp(total - total.max()).sum() >= min_score)
-            yield b.filter(pa.array(keep, pa.bool_()))
+            best, score = _decided(b.column(at), shared.value)
+            yield b.filter(pa.array((best >= 0) & (score >= min_score)))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -17,8 +17,8 @@ Steps, none of which holds a group of copies in one task or lists all pairs of a
    its largest component is compared with all members of other components, in blocks, by signature, then by full sets, unless
    links of the block join their components already.
 
-A pair at the threshold of 0.85 shares no table with probability 2*(1-0.85**2)**10 = 5e-6, and has signatures
-under the cut of AGREE with about 1e-5 (20 to 24 of 40 places agree where 34 are expected); both fall fast above it.
+A pair at the threshold s shares no table with probability 2*(1-s**2)**10, 5e-6 at 0.85 and 7e-5 at 0.8, and has signatures
+under the cut of `agreeing` with at most LOST; both fall fast above the threshold.
 
 Defined results: null and empty texts, and those of white space alone, have no shingles and are linked
 with nothing; fewer words than a shingle give one shingle; texts are read whole; a row with a null
@@ -28,6 +28,7 @@ an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,8 @@ from tracewell.llm._spark import dropped, stored, table
 
 GROUPS, ROWS = 10, 2
 HASHES = 2 * GROUPS * ROWS
-#: Signatures that agree in a smaller share of places aren't confirmed.
-AGREE = 0.6
+#: The share of the pairs at the threshold that the comparison of signatures may lose.
+LOST = 1e-5
 #: Members of a group that are compared at once.
 BLOCK = 2_048
 #: Buckets of at most so many members are compared many at once, larger ones in blocks; the result is the same.
@@ -113,15 +114,26 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in AGREE of their places at least."""
+def agreeing(percent: int) -> int:
+    """Signatures that agree in fewer places aren't confirmed: of the pairs at the threshold, at most LOST do."""
+    p, under = percent / 100, 0.0
+    for places in range(HASHES + 1):
+        under += math.comb(HASHES, places) * p**places * (1 - p) ** (HASHES - places)
+        if under > LOST:
+            return places
+    return HASHES
+
+
+def _alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough of their places."""
+    enough = agreeing(percent)
     kind = reps.schema["rep"].dataType.simpleString()
     side = lambda n: reps.select(F.col("rep").alias(n), F.col("sig").alias(f"s{n}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             a, b = (np.frombuffer(b"".join(x.column(c).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for c in (2, 3))
-            ok = pa.array((a == b).sum(axis=1) >= AGREE * HASHES)
+            ok = pa.array((a == b).sum(axis=1) >= enough)
             yield pa.RecordBatch.from_arrays([x.column(c).filter(ok) for c in (0, 1)], ["a", "b"])
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
@@ -201,7 +213,7 @@ def _alike_in_small(rows: DataFrame, percent: int) -> DataFrame:
 
     rows: grp, comp, size, brief; all pairs in a group are compared, those at one distance in the sorted rows at a time.
     """
-    kind = rows.schema["comp"].dataType.simpleString()
+    kind, enough = rows.schema["comp"].dataType.simpleString(), agreeing(percent)
 
     def pairs(p: pa.Table) -> pa.RecordBatch:
         grp, size = p["grp"].to_numpy(), p["size"].to_numpy()
@@ -215,7 +227,7 @@ def _alike_in_small(rows: DataFrame, percent: int) -> DataFrame:
             if not len(at):
                 break
             u = at[(comp[at] != comp[at + d]) & (100 * np.minimum(size[at], size[at + d]) >= percent * np.maximum(size[at], size[at + d]))]
-            u = u[(sig[u] == sig[u + d]).sum(axis=1) >= AGREE * HASHES]
+            u = u[(sig[u] == sig[u + d]).sum(axis=1) >= enough]
             found.append(np.stack([u, u + d], axis=1))
         found = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         if len(found):
@@ -248,7 +260,7 @@ def _across_buckets(members: DataFrame, named: DataFrame, percent: int) -> DataF
     """
     rest = members.where("size > 2 and rep <> leader").select("bucket", "rep")
     rest = stored(rest.join(named.select("rep", "comp"), "rep").distinct())
-    digest = [F.sum(F.xxhash64("rep", F.lit(k)).bitwiseAND(F.lit((1 << 40) - 1))).alias(f"d{k}") for k in (0, 1)]
+    digest = [F.sum(F.xxhash64("rep", F.lit(k)).cast("decimal(20,0)")).alias(f"d{k}") for k in (0, 1)]
     mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), *digest).where("lo <> hi")
     once = stored(mixed.groupBy("n", "d0", "d1").agg(F.min("bucket").alias("bucket")))
     each = rest.join(once.select("bucket", "n"), "bucket").select(F.col("bucket").alias("grp"), "rep", "comp", F.col("n").alias("many"))
@@ -274,6 +286,7 @@ def _links_across(rows: DataFrame, percent: int) -> DataFrame:
     kind = rows.schema["rep"].dataType.simpleString()
     places = ["grp", "block", "part"]
     full = "set" in rows.columns
+    enough = agreeing(percent)
 
     def across(p: pa.Table) -> Iterator[tuple]:
         out = p["out"].to_numpy(zero_copy_only=False)
@@ -284,7 +297,7 @@ def _links_across(rows: DataFrame, percent: int) -> DataFrame:
         sizes = np.array([len(x) for x in sets]) if full else p["size"].to_numpy()
         joined = Joined()
         for u in np.flatnonzero(out):
-            near = (sig[inside] == sig[u]).sum(axis=1) >= AGREE * HASHES
+            near = (sig[inside] == sig[u]).sum(axis=1) >= enough
             near &= (comp[inside] != comp[u]) & (100 * np.minimum(sizes[inside], sizes[u]) >= percent * np.maximum(sizes[inside], sizes[u]))
             for v in inside[near]:
                 if joined.root(comp[u]) != joined.root(comp[v]) and (not full or jaccard_at_least(sets[u], sets[v], percent)):
@@ -328,7 +341,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     buckets = keys.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = stored(keys.join(buckets, "bucket"))
     pairs = stored(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
-    near = stored(_alike(pairs, reps))
+    near = stored(_alike(pairs, reps, percent))
     dropped(pairs)
     # Only the texts of documents in a candidate pair are moved again.
     wanted = near.select(F.col("a").alias("k")).unionByName(near.select(F.col("b").alias("k"))).distinct()

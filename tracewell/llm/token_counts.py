@@ -2,7 +2,8 @@
 
 Tier 1 is a broadcast table from frequent pre-tokens to the number of tokens each encodes to.
 Tier 2 is a cache in each Python worker: a pre-token that tier 1 lacks is encoded once by the
-library and remembered. Nothing is shuffled; a document is counted where it is read.
+library and remembered. Nothing is shuffled: a document is counted where it is read, and the frequent pre-tokens
+come from lists that the tasks over a bounded sample send to the driver.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); every text is read whole;
 repeated rows are counted each; an empty table gives no rows; other columns are ignored.
@@ -13,10 +14,13 @@ from __future__ import annotations
 import functools
 import json
 import re
+import unicodedata
+from collections import Counter as Bag
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,14 +30,17 @@ from tracewell.llm._spark import bounded, table
 L, N, S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 #: Fixed value: the published split pattern of byte-level BPE, written out for those code points.
 SPLIT = re.compile(f" ?[{L}]+|'(?:s|t|re|ve|m|ll|d)| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+").findall
-#: Texts of these code points alone are split by the pattern above (tests compare all of them with the
-#: library); a text with any other character is encoded whole by the library.
+#: Texts of these code points alone are split by the pattern above (tests compare all of them with the library).
 PLAIN = re.compile(r"[\x00-ɏ]*").fullmatch
+#: Fixed value: the same pattern for all of Unicode, with the white space of the library.
+BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WIDE = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{BLANK}\p{{L}}\p{{N}}]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+").findall
 
 #: Entries of tier 1: its size is bounded by this, whatever the corpus.
 FREQUENT = 65_536
-#: Documents that are read to choose them. The choice moves time only, never a count.
-SAMPLE_DOCS = 2_000
+#: Documents that are read to choose them, and pre-tokens that each of them names at most: so the lists are bounded, too. The
+#: choice moves time only, never a count.
+SAMPLE_DOCS, NAMED = 2_000, 512
 #: Entries of a worker's cache; a full one is emptied.
 CACHE = 400_000
 
@@ -44,6 +51,17 @@ def vocabulary_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@functools.cache
+def _unsettled():
+    """Finds characters that libraries of other Unicode versions may class otherwise: letters and numbers younger than
+    Unicode 3.2, and those that aren't assigned yet. Only a text with one of them is encoded whole by the library."""
+    now, old = unicodedata.category, unicodedata.ucd_3_2_0.category
+    odd = [c for c in range(0x250, 0x110000) if now(chr(c)) == "Cn" or now(chr(c))[0] in "LN" and old(chr(c))[0] != now(chr(c))[0] or now(chr(c))[0] not in "LN" and old(chr(c))[0] in "LN"]
+    starts = [c for c, before in zip(odd, [-1, *odd], strict=False) if c != before + 1]
+    ends = [c for c, after in zip(odd, [*odd[1:], -1], strict=True) if c != after - 1]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(starts, ends, strict=True)) + "]").search
+
+
 @functools.cache
 def tokenizer(path: str | None, name: str):
     from tokenizers import Tokenizer
@@ -94,9 +112,11 @@ class Counter:
     def pre_tokens(self, text: str) -> list[str] | None:
         """None where only the library's own reading is known to be right."""
         plan = _plan(self.path, self.name)
-        if plan is None or not PLAIN(text) or (plan[0] and plan[0].search(text)):
+        if plan is None or (plan[0] and plan[0].search(text)):
             return None
-        return SPLIT(text)
+        if PLAIN(text):
+            return SPLIT(text)
+        return None if _unsettled()(text) else WIDE(text)
 
     def count(self, text: str) -> int:
         parts = self.pre_tokens(text)
@@ -127,18 +147,17 @@ def frequent_lengths(docs: DataFrame, text: str, key: str, path: str | None, nam
     counter = Counter({}, path, name)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter as Bag
-
         bag: Bag = Bag()
         for b in batches:
-            for x in b.column(0).to_pylist():
-                bag.update(counter.pre_tokens(x or "") or ())
-        top = bag.most_common(size)
-        yield pa.RecordBatch.from_pydict({"p": pa.array([p for p, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
-
-    some = bounded(docs.select(key, text), key, SAMPLE_DOCS).select(text)
-    top = some.mapInArrow(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(size).select("p")
-    found = {r.p: counter._encode(r.p) for r in top.collect()}
+            for x in b.column(0):
+                bag.update(dict(Bag(counter.pre_tokens(x.as_py() or "") or ()).most_common(NAMED)))
+        yield pa.RecordBatch.from_pydict({"p": pa.array([*bag], pa.string()), "n": pa.array([*bag.values()], pa.int64())})
+
+    some = bounded(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", SAMPLE_DOCS).select("t")
+    bag: Bag = Bag()
+    for r in some.mapInArrow(count, "p string, n long").collect():
+        bag[r.p] += r.n
+    found = {p: counter._encode(p) for p, _ in sorted(bag.items(), key=lambda x: (-x[1], x[0]))[:size]}
     if _plan(path, name):
         for token in sorted(tokenizer(path, name).get_vocab(), key=tokenizer(path, name).get_vocab().get) if len(found) < size else ():
             word = token.replace("Ġ", " ")
@@ -147,10 +166,14 @@ def frequent_lengths(docs: DataFrame, text: str, key: str, path: str | None, nam
     return found
 
 
+def fitted_counter(docs: DataFrame, key: str, text: str, path: str | None = None, name: str = "byte_bpe_50k.json") -> Counter:
+    return Counter(frequent_lengths(docs, text, key, path, name), path, name)
+
+
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", *, limit: int = 1024, path: str | None = None, name: str = "byte_bpe_50k.json") -> DataFrame:
     """key, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs."""
     kind = docs.schema[key].dataType.simpleString()
-    counter = docs.sparkSession.sparkContext.broadcast(Counter(frequent_lengths(docs, text, key, path, name), path, name))
+    counter = docs.sparkSession.sparkContext.broadcast(fitted_counter(docs, key, text, path, name))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter.value

@@ -4,7 +4,7 @@ A page that a rule fits gets that rule's verdict. The others get their host's ve
 pages are allowed by rules are trusted seeds, those of which most are blocked are blocked seeds. Trust follows
 links (a page that a trusted host links to is likelier good): personalised PageRank from the trusted seeds. Distrust
 follows them backwards (who links to blocked hosts is suspect): the same from the blocked seeds on reversed
-edges. Both run in Spark over the table of host edges, in one loop. A host is blocked if its distrust is at
+edges. Both run in Spark over the table of host edges, in one loop, until they have converged. A host is blocked if its distrust is at
 least BLOCK_AT and more than its trust; without any evidence it is allowed.
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is allowed; null
@@ -19,13 +19,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm._spark import dropped, stored, table
+from tracewell.llm._spark import stored, table
 
 #: (rule, verdict): a host and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, ROUNDS = 0.85, 12
-#: A seed alone has 1 - DAMPING.
-BLOCK_AT = 0.05
+DAMPING = 0.85
+#: Propagation ends when so small a share of the seeds' mass is on its way; steps between two tables that are written.
+CLOSE, STEPS = 1e-6, 4
+#: A seed starts with 1.
+BLOCK_AT = 0.15
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -54,28 +56,34 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), dst.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, close: float = CLOSE) -> DataFrame:
     """host, trust, distrust; seeds is (host, trust, distrust) with 1.0 for seeds and 0.0 otherwise.
 
-    A seed gives 1 - damping each round; what a host has goes on along its edges in proportion to their counts.
+    Of what a host gets, the part `damping` goes on along its edges in proportion to their counts, until the mass on its way is
+    under `close` of the seeds'. What reaches hosts without edges goes back to the seeds, which only scales all scores:
+    so they add up to the number of seeds.
     """
     flow = edges.select("src", "dst", "n", F.lit("trust").alias("kind")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n", F.lit("distrust").alias("kind")))
     out = flow.groupBy("src", "kind").agg(F.sum("n").alias("all"))
     flow = stored(flow.join(out, ["src", "kind"]).select("src", "kind", "dst", (F.col("n") / F.col("all") * damping).alias("share")))
-    start = stored(seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("x")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("x")))).alias("e")).where("e.x > 0").select("host", "e.kind", (F.col("e.x") * (1 - damping)).alias("x")))
-    now, old = start, None
-    if flow.isEmpty():
-        rounds = 0
-    for k in range(rounds):
-        moved = flow.join(now.withColumnRenamed("host", "src"), ["src", "kind"]).select(F.col("dst").alias("host"), "kind", (F.col("share") * F.col("x")).alias("x"))
-        now = start.unionByName(moved).groupBy("host", "kind").agg(F.sum("x").alias("x"))
-        if k % 4 == 3 or k == rounds - 1:
-            now = stored(now)
-            if old is not None:
-                dropped(old)
-            old = now
-    score = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("x"))), F.lit(0.0)).alias(kind)
-    return now.groupBy("host").agg(score("trust"), score("distrust"))
+    score = stored(seeds.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("trust").alias("x")), F.struct(F.lit("distrust").alias("kind"), F.col("distrust").alias("x")))).alias("e")).where("e.x > 0").select("host", "e.kind", F.col("e.x").alias("x")))
+    start = {r.kind: r.x for r in score.groupBy("kind").agg(F.sum("x").alias("x")).collect()}  # two rows
+    moving, left = score, 0 if flow.isEmpty() else sum(start.values())
+    while left > close * sum(start.values()):
+        steps = []
+        for _ in range(STEPS):
+            moving = flow.join(moving.withColumnRenamed("host", "src"), ["src", "kind"]).select(F.col("dst").alias("host"), "kind", (F.col("share") * F.col("x")).alias("x")).groupBy("host", "kind").agg(F.sum("x").alias("x"))
+            steps.append(moving)
+        told = steps[0].withColumn("last", F.lit(STEPS == 1))
+        for k, x in enumerate(steps[1:], 2):
+            told = told.unionByName(x.withColumn("last", F.lit(k == STEPS)))
+        now = stored(told.groupBy("host", "kind").agg(F.sum("x").alias("x"), F.sum(F.when(F.col("last"), F.col("x"))).alias("moving")))
+        after = stored(score.unionByName(now.select("host", "kind", "x")).groupBy("host", "kind").agg(F.sum("x").alias("x")))
+        moving, score = now.where("moving > 0").select("host", "kind", F.col("moving").alias("x")), after
+        left = moving.agg(F.sum("x")).first()[0] or 0
+    whole = {r.kind: r.x for r in score.groupBy("kind").agg(F.sum("x").alias("x")).collect()}
+    of = lambda kind: (F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("x"))), F.lit(0.0)) * (start[kind] / whole[kind] if kind in whole else 1.0)).alias(kind)
+    return score.groupBy("host").agg(of("trust"), of("distrust"))
 
 
 def judged(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
