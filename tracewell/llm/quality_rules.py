@@ -3,11 +3,12 @@
 The statistics of a text are counted with SQL functions in one pass. Documents that fail the base rules are
 out. For the others a vector of transformed statistics is compared with its group, (language, source): the
 location and scatter of the group are minimum-covariance-determinant estimates, found by concentration
-steps: take the HALF of the group's documents that are nearest in Mahalanobis distance, re-estimate from them, again.
+steps from three starts: take the HALF of the group's documents that are nearest in Mahalanobis distance, re-estimate
+from them, again; after two steps the start with the smallest determinant goes on until the determinant gets no smaller.
 A document is rejected if its squared distance is over CUT.
 
 Every step is an aggregation with few rows a group: quantiles are read from histograms of fixed bins, so no group
-is ever gathered or sorted. The scatter's diagonal has a floor, since statistics such as the number of symbols are constant
+is ever gathered or sorted. The scatter's diagonal is at a floor at least, since statistics such as the number of symbols are constant
 in clean text. Cholesky factors are column expressions. Groups of fewer than GROUP documents take their
 language's estimates, and languages of fewer than that those of all documents.
 
@@ -21,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm._spark import stored, table
+from tracewell.llm._spark import dropped, stored, table
 
-#: The share of a group that the estimates rest on, and the number of concentration steps.
-HALF, STEPS = 0.75, 4
+#: The share of a group that the estimates rest on, and the fall of half the determinant's logarithm that is worth a step.
+HALF, CLOSE = 0.75, 1e-3
 GROUP = 100
-#: Squared distances over this are outliers: far beyond what 5 normal statistics give (0.9999: 25.7).
-CUT = 60.0
+#: Squared distances over this are outliers: the 1 - 1e-7 quantile of the chi-squared distribution with 5 degrees of freedom.
+CUT = 40.86
 #: Transformed statistics and the smallest standard deviation that is believed of each.
 VECTOR = {"v_words": 0.5, "v_length": 0.05, "v_symbols": 0.35, "v_lines": 0.6, "v_repeats": 0.6}
 #: Median of the chi-squared distribution with 5 degrees of freedom, to make the scatter consistent.
@@ -57,9 +58,8 @@ def measured(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     # min(3, distance to the next such place) words each.
     base = docs.select(F.col(key), *map(F.col, more), F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"), *(c.alias(n) for n, c in counts(F.col(text)).items()))
     w = F.col("_words")
-    three = F.arrays_zip(w.alias("a"), F.slice(w, 2, F.greatest(F.size(w), F.lit(1))).alias("b"), F.slice(w, 3, F.greatest(F.size(w), F.lit(1))).alias("c"))
-    places = F.transform(F.filter(three, lambda x: x["c"].isNotNull()), lambda x, i: F.struct(F.xxhash64(x["a"], x["b"], x["c"]).alias("h"), i.alias("i")))
-    base = base.select("*", F.size(w).cast("long").alias("n_words"), F.array_sort(places).alias("_s")).drop("_words")
+    places = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    base = base.select("*", F.size(w).cast("long").alias("n_words"), F.sort_array(places).alias("_s")).drop("_words")
     s = F.col("_s")
     beside = F.arrays_zip(s.alias("x"), F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).alias("p"), F.slice(s, 2, F.greatest(F.size(s), F.lit(1))).alias("n"))
     again = F.filter(beside, lambda z: z["x"].isNotNull() & (z["x"]["h"].eqNullSafe(z["p"]["h"]) | z["x"]["h"].eqNullSafe(z["n"]["h"])))
@@ -90,12 +90,12 @@ def _ranked(bins: DataFrame, by: list[str], share: float, at: str) -> DataFrame:
     return bins.select(*by, "bin", F.sum("n").over(up).alias("c"), F.sum("n").over(all_).alias("all")).where(F.col("c") >= F.ceil(F.col("all") * share)).groupBy(*by).agg(F.min("bin").alias(at))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """g, the mean and the lower triangle of the covariance with its floor, as m_i and c_i_j."""
+def _moments(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, the mean and the lower triangle of the covariance, its diagonal at the floor at least, as m_i and c_i_j."""
     sums = [F.count("*").alias("n"), *(F.sum(v).alias(f"s_{v}") for v in NAMES), *(F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"q_{i}_{j}") for i in range(D) for j in range(i + 1))]
-    means = rows.groupBy("g").agg(*sums).select("*", *((F.col(f"s_{v}") / F.col("n")).alias(f"m_{i}") for i, v in enumerate(NAMES)))
-    cov = [(F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}") + (F.lit(VECTOR[NAMES[i]] ** 2) if i == j else 0)).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)]
-    return means.select("g", *(f"m_{i}" for i in range(D)), *cov)
+    means = rows.groupBy(*by).agg(*sums).select("*", *((F.col(f"s_{v}") / F.col("n")).alias(f"m_{i}") for i, v in enumerate(NAMES)))
+    cov = lambda i, j: F.col(f"q_{i}_{j}") / F.col("n") - F.col(f"m_{i}") * F.col(f"m_{j}")
+    return means.select(*by, *(f"m_{i}" for i in range(D)), *((F.greatest(cov(i, i), F.lit(VECTOR[NAMES[i]] ** 2)) if i == j else cov(i, j)).alias(f"c_{i}_{j}") for i in range(D) for j in range(i + 1)))
 
 
 def _factored(moments: DataFrame) -> DataFrame:
@@ -113,27 +113,70 @@ def _distances(rows: DataFrame, model: DataFrame, few: bool) -> DataFrame:
     for i, v in enumerate(NAMES):
         z = (F.col(v) - F.col(f"m_{i}") - sum((F.col(f"l_{i}_{k}") * F.col(f"z_{k}") for k in range(i)), F.lit(0.0))) / F.col(f"l_{i}_{i}")
         joined = joined.withColumn(f"z_{i}", z)
-    return joined.select(*rows.columns, sum((F.col(f"z_{i}") ** 2 for i in range(1, D)), F.col("z_0") ** 2).alias("d2"))
+    return joined.select(*rows.columns, *(c for c in model.columns if c == "start"), sum((F.col(f"z_{i}") ** 2 for i in range(1, D)), F.col("z_0") ** 2).alias("d2"))
 
 
 def _bin_of(d2: str) -> Column:
     return F.floor(F.log(F.greatest(F.col(d2), F.lit(1e-9))) * 64)
 
 
-def estimates(rows: DataFrame, few: bool) -> DataFrame:
-    """g with m_i and l_i_j: the robust location and factored scatter of rows (g, *VECTOR)."""
-    # The start: medians and spreads of each statistic on its own.
+MODEL = [*(f"m_{i}" for i in range(D)), *(f"l_{i}_{j}" for i in range(D) for j in range(i + 1))]
+
+
+def _size() -> Column:
+    """The logarithm of the determinant of a factored scatter, halved."""
+    return sum((F.log(f"l_{i}_{i}") for i in range(1, D)), F.log("l_0_0"))
+
+
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """g, start and a model for each of three starts: medians and quartiles of each statistic on its own; the moments of all
+    rows; those of the rows within the fences, 1.5 times the quartiles' distance beyond them, of every statistic."""
     bins = rows.select("g", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(F.col(v) * 64).alias("bin")) for i, v in enumerate(NAMES)))).alias("e")).groupBy("g", "e.i", "e.bin").agg(F.count("*").alias("n"))
     bins = stored(bins)
     spread = _ranked(bins, ["g", "i"], 0.25, "q1").join(_ranked(bins, ["g", "i"], 0.5, "q2"), ["g", "i"]).join(_ranked(bins, ["g", "i"], 0.75, "q3"), ["g", "i"])
     pick = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
-    start = spread.groupBy("g").agg(*(((pick("q2", i) + 0.5) / 64).alias(f"m_{i}") for i in range(D)), *(F.greatest((pick("q3", i) - pick("q1", i)) / 64 / 1.349, F.lit(VECTOR[v])).alias(f"l_{i}_{i}") for i, v in enumerate(NAMES)))
-    model = stored(start.select("*", *(F.lit(0.0).alias(f"l_{i}_{j}") for i in range(D) for j in range(i))))
-    for _ in range(STEPS):
-        far = _distances(rows, model, few).withColumn("bin", _bin_of("d2"))
-        top = _ranked(far.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], HALF, "top")
-        near = far.join(F.broadcast(top) if few else top, "g").where("bin <= top")
-        model = stored(_factored(_moments(near)))
+    own = spread.groupBy("g").agg(*(((pick("q2", i) + 0.5) / 64).alias(f"m_{i}") for i in range(D)), *((pick("q1", i) / 64).alias(f"q1_{i}") for i in range(D)), *(((pick("q3", i) + 1) / 64).alias(f"q3_{i}") for i in range(D)))
+    own = stored(own)
+    width = lambda i: F.col(f"q3_{i}") - F.col(f"q1_{i}")
+    first = own.select("g", F.lit(0).alias("start"), *(f"m_{i}" for i in range(D)), *((F.greatest((width(i) - 1 / 64) / 1.349, F.lit(VECTOR[NAMES[i]])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i in range(D) for j in range(i + 1)))
+    fences = own.select("g", *((F.col(f"q1_{i}") - 1.5 * width(i)).alias(f"lo_{i}") for i in range(D)), *((F.col(f"q3_{i}") + 1.5 * width(i)).alias(f"hi_{i}") for i in range(D)))
+    inside = rows.join(F.broadcast(fences) if few else fences, "g")
+    for i, v in enumerate(NAMES):
+        inside = inside.where(F.col(v).between(F.col(f"lo_{i}"), F.col(f"hi_{i}")))
+    made = lambda x, k: _factored(_moments(x, ["g"])).withColumn("start", F.lit(k)).select("g", "start", *MODEL)
+    return stored(first.select("g", "start", *MODEL).unionByName(made(rows, 1)).unionByName(made(inside.select("g", *NAMES), 2)))
+
+
+def _step(rows: DataFrame, model: DataFrame, few: bool) -> DataFrame:
+    """A concentration step: the model (g, start, ...) of the HALF of each group's rows that are nearest to its model."""
+    far = _distances(rows, model, few).withColumn("bin", _bin_of("d2"))
+    top = _ranked(far.groupBy("g", "start", "bin").agg(F.count("*").alias("n")), ["g", "start"], HALF, "top")
+    near = far.join(F.broadcast(top) if few else top, ["g", "start"]).where("bin <= top")
+    return stored(_factored(_moments(near, ["g", "start"])).select("g", "start", *MODEL))
+
+
+def estimates(rows: DataFrame, few: bool) -> DataFrame:
+    """g with m_i and l_i_j: the robust location and factored scatter of rows (g, *VECTOR).
+
+    Two steps from each start; then the start of the smallest determinant goes on until no determinant gets smaller.
+    """
+    model = _starts(rows, few)
+    for _ in range(2):
+        model = _step(rows, model, few)
+    best = model.groupBy("g").agg(F.min_by(F.struct("start", *MODEL), F.struct(_size(), "start")).alias("b")).select("g", "b.*")
+    model = stored(best)
+    while True:
+        after = _step(rows, model, few)
+        was = model.select("g", _size().alias("was"), F.struct("start", *MODEL).alias("old"))
+        both = after.select("g", _size().alias("is"), F.struct("start", *MODEL).alias("new")).join(was, "g")
+        smaller = F.col("is") < F.col("was") - CLOSE  # so each determinant falls by a factor in each round but the last
+        chosen = stored(both.select("g", smaller.alias("smaller"), F.when(F.col("is") < F.col("was"), F.col("new")).otherwise(F.col("old")).alias("b")))
+        dropped(model, after)
+        model = chosen.select("g", "b.*")
+        if chosen.where("smaller").isEmpty():
+            break
+        model = stored(model)
+        dropped(chosen)
     # Consistency: half of the distances should be under the chi-squared median; the scatter only grows by this.
     far = _distances(rows, model, few).withColumn("bin", _bin_of("d2"))
     mid = _ranked(far.groupBy("g", "bin").agg(F.count("*").alias("n")), ["g"], 0.5, "mid")

@@ -8,7 +8,7 @@ The lexicon is learned from labelled documents: word beginnings that toxic docum
 than clean ones, with their log odds as weights; a word counts only if many different words precede it,
 so that copies of one toxic document don't put all of its words on the list. Exception phrases (given ones,
 and neighbours learned from clean documents) cancel the terms they hold. The sum of weights is divided by the
-square root of the number of words and mapped to 0..1 so that the learned threshold is 0.5.
+number of words and mapped to 0..1 so that the learned threshold is 0.5.
 
 Defined results: null and empty texts sum to 0 and get the lowest score; texts are read whole;
 repeated rows get equal scores; without labels of both kinds the lexicon is empty and nothing is toxic;
@@ -36,8 +36,6 @@ TRAIN_DOCS = 4_000
 PREFIX, SHORTEST = 5, 4
 #: A term is in at least so many toxic documents, after so many different words, with such log odds.
 MIN_DOCS, MIN_NEIGHBOURS, MIN_ODDS = 4, 4, 3.0
-#: Phrases in which a term is harmless.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "idiot proof", "pond scum")
 
 #: Characters of other scripts that look like a Latin letter, and signs used as letters.
 LOOKALIKES = {
@@ -88,7 +86,7 @@ class Lexicon:
         (self.terms, self.exceptions, self.threshold), self._automaton = state, None
 
     def weight(self, text: str | None) -> float:
-        """Sum of the weights in the text over the square root of its number of words."""
+        """Sum of the weights in the text over its number of words."""
         if not self.terms:
             return 0.0
         if self._automaton is None:
@@ -100,13 +98,13 @@ class Lexicon:
             self._automaton.make_automaton()
         folded = fold(text)
         total = sum(w for _, w in self._automaton.iter(folded))
-        return total / np.sqrt(max(1, len(folded.split()))) if total > 0 else 0.0
+        return total / max(1, len(folded.split())) if total > 0 else 0.0
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-min(50.0, 4 * (self.weight(text) / self.threshold - 1)))))
 
 
-def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = ()) -> Lexicon:
     """A lexicon from labelled texts."""
     texts, toxic = [*map(fold, texts)], np.array(toxic, dtype=bool)
     docs: dict[bool, Counter] = {True: Counter(), False: Counter()}
@@ -138,7 +136,7 @@ def learn(texts: list[str], toxic: list[int], exceptions: tuple[str, ...] = EXCE
     wrong = np.concatenate(([0], np.cumsum(np.where(toxic[order], n[False] / n[True], -1.0)))) # toxic below less clean below
     edges = np.concatenate((x[order][:1] - 1e-6, (x[order][1:] + x[order][:-1]) / 2, x[order][-1:] + 1e-6))
     wrong[1:-1][np.diff(x[order]) == 0] = np.inf
-    found.threshold = float(max(edges[int(np.argmin(wrong))], 1e-3))
+    found.threshold = float(max(edges[int(np.argmin(wrong))], 1e-6))
     return found
 
 
@@ -161,7 +159,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, key: str, text: str) -> DataFrame:
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, predicted int")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn_from: F.Column | None = None, per_kind: int = TRAIN_DOCS, exceptions: tuple[str, ...] = EXCEPTIONS) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", learn_from: F.Column | None = None, per_kind: int = TRAIN_DOCS, exceptions: tuple[str, ...] = ()) -> DataFrame:
     """key, score and predicted of every row, by a lexicon learned from the labels that learn_from admits."""
     rows = labelled(docs, labels, key, text, label, F.lit(True) if learn_from is None else learn_from, per_kind).toPandas().sort_values(["k", "t"])
     return scored(docs, learn([*rows["t"]], [*rows["y"]], exceptions), key, text)
