@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.envelope import Envelope, Fidelity
-from tracewell.functions import facts, paths
-from tracewell.operators import builds, findings, fixpoint, impact, intervals, layout, recipes, selection, sites, sweep
+from tracewell.functions import bits, facts, paths
+from tracewell.operators import builds, findings, fixpoint, graphs, impact, intervals, layout, recipes, selection, sites, sweep
 from tracewell.sources import compdb, csource, files
 from tracewell.streaming import ingest
 
@@ -112,10 +114,10 @@ def test_indirect_calls_need_a_fitting_arity(spark):
     assert again["h1"][0] == 1 and again["h1"][3] == ["IndirectCall"] and again["far"][0] == 2
 
 
-def test_conditions_by_position(spark):
-    old = spark.createDataFrame([(0, "if", ["A"]), (1, "if", ["B"])], "ord int, directive string, tokens array<string>")
+def test_conditions_by_position_of_their_unit(spark):
+    old = spark.createDataFrame([("a", 0, "if", ["A"]), ("a", 1, "if", ["B"]), ("b", 0, "if", ["B"])], "tu string, ord int, directive string, tokens array<string>")
     assert impact.changed_conditions(old, old).count() == 0
-    assert [r.pos for r in impact.changed_conditions(old, old.where("ord = 0")).collect()] == [1]
+    assert [(r.tu, r.pos) for r in impact.changed_conditions(old, old.where("tu = 'b' or ord = 0")).collect()] == [("a", 1)]
 
 
 SOURCES = {"lib.h": "#define SCALE(v) ((v) * 2)\n#define OFFSET(v) ((v) + 1)\n", "lib.c": '#include "lib.h"\nint scaled(int x) { return SCALE(x); }\nint offset(int x) { return OFFSET(x); }\nint both(int x) { return SCALE(OFFSET(x)); }\nint untouched(int x) { return x - 1; }\nint gate(int x) { return x > 0; }\n'}
@@ -358,3 +360,49 @@ def test_streaming_equals_batch(spark, tmp_path):
 
     batch = spark.createDataFrame([(d["file"], d["line"], d["variant"], d["test"], d["count"]) for d in data], "file string, line int, variant string, test int, count int")
     assert rows(tests_for_lines(ingest.index(spark, str(tmp_path / "out")))) == rows(tests_for_lines(coverage_sets(batch)))
+
+
+def test_fixed_width_integers_equal_python(spark):
+    rng = random.Random(3)
+    for w in (1, 8, 33, 64):
+        m, half = 1 << w, 1 << (w - 1)
+        signed = lambda v: (v + half) % m - half  # noqa: B023, E731
+        some = [signed(v) for v in (0, 1, -1, half, half - 1, 5)] + [signed(rng.getrandbits(w)) for _ in range(30)]
+        pairs = [(a, b) for a in some for b in rng.sample(some, 4) + [signed(0), signed(-1)]]
+        df = spark.createDataFrame(pairs, "a long, b long")
+        got = df.select("a", "b", *(f(F.col("a"), F.col("b"), w).alias(n) for n, f in bits.BINARY.items()), *(f(F.col("a"), F.col("b"), w).alias(n) for n, f in bits.COMPARE.items()), *(bits.overflows(o, F.col("a"), F.col("b"), w).alias(f"o{o}") for o in ("Add", "Sub", "Mul")), bits.popcount(F.col("a"), w).alias("pop"), bits.leading_zeros(F.col("a"), w).alias("clz"), bits.UNARY["Neg"](F.col("a"), w).alias("neg")).collect()
+        for r in got:
+            a, b, ua, ub = r.a, r.b, r.a % m, r.b % m
+            div = abs(a) // abs(b) * (1 if (a < 0) == (b < 0) else -1) if b else 1 if a < 0 else -1
+            want = {"Add": a + b, "Sub": a - b, "Mul": a * b, "UDiv": ua // ub if ub else -1, "SDiv": div, "URem": ua % ub if ub else a, "SRem": a - b * div if b else a, "And": a & b, "Or": a | b, "Xor": a ^ b}
+            want |= {"Shl": a << b if 0 <= b < w else 0, "LShr": ua >> b if 0 <= b < w else 0, "AShr": a >> b if 0 <= b < w else -1 if a < 0 else 0}
+            assert {k: getattr(r, k) for k in want} == {k: signed(v) for k, v in want.items()}, (w, a, b)
+            assert (r.ULt, r.UGe, r.SLt, r.Eq) == (ua < ub, ua >= ub, a < b, a == b)
+            assert [r.oAdd, r.oSub, r.oMul] == [v != signed(v) for v in (a + b, a - b, a * b)]
+            assert (r["pop"], r.clz, r.neg) == (ua.bit_count(), w - ua.bit_length() if a else None, signed(-a))
+
+
+def test_floats_compare_as_ordered_and_unordered(spark):
+    nan, inf = float("nan"), float("inf")
+    df = spark.createDataFrame([(1.0, 2.0), (nan, 1.0), (nan, nan), (1.0, 0.0), (-1.0, 0.0), (0.0, 0.0), (7.5, 2.0)], "a double, b double")
+    a, b = F.col("a"), F.col("b")
+    rows = df.select(*(f(a, b).alias(n) for n, f in {**bits.FLOAT_COMPARE, **bits.FLOAT_BINARY}.items())).collect()
+    assert [r.FOEq for r in rows] == [False, False, False, False, False, True, False]
+    assert [r.FUEq for r in rows] == [False, True, True, False, False, True, False]
+    assert [r.FOLt for r in rows] == [True, False, False, False, True, False, False]
+    assert [r.FUno for r in rows] == [False, True, True, False, False, False, False]
+    assert rows[3].FDiv == inf and rows[4].FDiv == -inf and rows[5].FDiv != rows[5].FDiv and rows[6].FDiv == 3.75 and rows[6].FRem == 1.5
+
+
+def test_cycles_and_dominators_of_small_graphs(spark):
+    edges = lambda *e: spark.createDataFrame([*e], "src int, dst int")
+    found = lambda *e: {r.node: r.component for r in graphs.cycles(edges(*e)).collect()}
+    assert found((1, 2), (2, 3)) == {}
+    assert found((1, 1)) == {1: 1}
+    assert found((1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (0, 1)) == {1: 2, 2: 2, 3: 4, 4: 4}
+    assert found((1, 9), (9, 1), (9, 2), (2, 3), (3, 2)) == {1: 9, 9: 9, 2: 3, 3: 3}
+    f = spark.createDataFrame([("f", 0, 1), ("f", 1, 2), ("f", 1, 3), ("f", 2, 4), ("f", 3, 4), ("f", 4, 1), ("f", 8, 4)], "func string, src int, dst int")
+    entry = spark.createDataFrame([("f", 0)], "func string, node int")
+    assert {(r.node, r.dominator) for r in graphs.dominators(f, entry).where("immediate").collect()} == {(1, 0), (2, 1), (3, 1), (4, 1)}
+    blocks = spark.createDataFrame([("f", k) for k in (0, 1, 2, 3, 4, 8)], "func string, node int")
+    assert [r.node for r in graphs.unreachable(blocks, f, entry).collect()] == [8]

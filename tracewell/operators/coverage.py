@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.facts import COUNT, largest, recorded_set, saturating_sum
+from tracewell.operators.fixpoint import roots
 
 OUTCOMES = ("Passed", "Failed", "Crashed", "TimedOut", "NotRun")
 #: A process that ends in one of these has written its counters.
@@ -179,3 +180,38 @@ def graph_inflow(lines: DataFrame, arcs: DataFrame) -> DataFrame:
     entry = into.join(own, ["func", "file", "line", "src"], "left_anti").groupBy("func", "file", "line").agg(saturating_sum("count").alias("entered"))
     every = lines.select("func", "file", "line").distinct()
     return every.join(entry, ["func", "file", "line"], "left").select("func", "file", "line", F.coalesce("entered", F.lit(0).cast(COUNT)).alias("count"))
+
+
+def variants(sets: DataFrame) -> DataFrame:
+    """variant: every build that contributed."""
+    return sets.select("variant").distinct()
+
+
+def tests_seen(records: DataFrame) -> DataFrame:
+    """test: every test that contributed, executed lines or not."""
+    return records.where("test is not null").select("test").distinct()
+
+
+def tests_for_spans(sets: DataFrame, spans: DataFrame, expansion: DataFrame) -> DataFrame:
+    """ask, tests for spans (ask, file, lo, hi, tu, ctx): all lines of a span, or of its outermost call site inside an expansion.
+
+    expansion is (tu, ctx, parent, file, line). Null only if none of the lines is recorded.
+    """
+    node = F.struct("tu", "ctx")
+    up = roots(expansion.select(node.alias("node"), F.when(F.col("parent").isNotNull(), F.struct("tu", F.col("parent").alias("ctx"))).alias("parent")))
+    sites = up.join(expansion.select(node.alias("root"), F.col("file").alias("at"), "line"), "root").select("node.tu", "node.ctx", "at", "line")
+    written = spans.where("ctx is null").select("ask", "file", "lo", "hi")
+    inside = spans.where("ctx is not null").select("ask", "tu", "ctx").join(sites, ["tu", "ctx"], "left").select("ask", F.col("at").alias("file"), F.col("line").alias("lo"), F.col("line").alias("hi"))
+    return tests_for_ranges(sets, written.unionByName(inside))
+
+
+def compact_sets(sets: DataFrame) -> DataFrame:
+    """file, line, bucket, bits: the tests (whole numbers) of each line as bitmaps, one for each 32,768 of them that any executed."""
+    each = sets.select("file", "line", F.explode("tests").alias("test"))
+    return each.groupBy("file", "line", F.bitmap_bucket_number("test").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("test")).alias("bits"))
+
+
+def compact_union(compact: DataFrame, asked: DataFrame) -> DataFrame:
+    """ask, n_tests: how many tests executed any of the lines (ask, file, line), by joining bitmaps, without listing a test."""
+    found = asked.join(compact, ["file", "line"]).groupBy("ask", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n"))
+    return asked.select("ask").distinct().join(found.groupBy("ask").agg(F.sum("n").alias("n")), "ask", "left").select("ask", F.coalesce("n", F.lit(0)).cast("long").alias("n_tests"))

@@ -6,6 +6,7 @@ stays short and a lost executor costs one level. The driver sees counts only.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,19 +15,23 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where levels are written: spark.checkpoint.dir, or a temporary folder only where none is set (tests)."""
+    """Where levels are written: spark.checkpoint.dir, or a temporary folder only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tracewell-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the shared folder."""
+    """df, computed once and read back from the shared folder; removed when the driver ends."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_folder(spark)}/levels/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -80,6 +85,23 @@ def ancestors(parents: DataFrame) -> DataFrame:
         n = after
 
 
+def upward(wanted: DataFrame, parents: DataFrame) -> DataFrame:
+    """start, node, depth: each wanted (node) and all its ancestors over (node, parent), level by level; a cycle ends.
+
+    Only what lies above the wanted nodes is touched, whatever the size of the forest.
+    """
+    level = written(wanted.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
+    placed, depth = level, 0
+    up = parents.where("parent is not null").select(F.col("node"), F.col("parent").alias("above"))
+    while True:
+        depth += 1
+        ahead = level.join(up, "node").select("start", F.col("above").alias("node")).distinct()
+        level = written(ahead.join(placed, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        if level.isEmpty():
+            return placed
+        placed = written(placed.unionByName(level)) if depth % 8 == 0 else placed.unionByName(level)
+
+
 def roots(parents: DataFrame) -> DataFrame:
     """node, root, depth: the outermost ancestor of every node, a root's being itself; nodes on a cycle have none.
 

@@ -65,9 +65,9 @@ def classified(diff: DataFrame, records: DataFrame | None = None) -> DataFrame:
 
 
 def changed_conditions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """pos, old, new of conditionals (ord, directive, tokens) that differ by position, or that only one side has."""
-    text = lambda d, n: d.select(F.col("ord").alias("pos"), F.concat_ws(" ", F.col("directive"), F.array_join("tokens", " ")).alias(n))
-    return text(old, "old").join(text(new, "new"), "pos", "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+    """tu, pos, old, new of conditionals (tu, ord, directive, tokens) that differ by position in their unit, or that only one side has."""
+    text = lambda d, n: d.select("tu", F.col("ord").alias("pos"), F.concat_ws(" ", F.col("directive"), F.array_join("tokens", " ")).alias(n))
+    return text(old, "old").join(text(new, "new"), ["tu", "pos"], "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
 def zipped_conditions(pairs: DataFrame) -> DataFrame:

@@ -42,3 +42,13 @@ def as_of(points: DataFrame, starts: DataFrame, by: list[str], at: str, start: s
     w = Window.partitionBy(*by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = p.unionByName(s).withColumn("_last", F.last("_s", ignorenulls=True).over(w)).where("_side = 1")
     return both.select("_p.*", *(F.col(f"_last.{c}").alias(c) for c in named))
+
+
+def located(points: DataFrame, lines: DataFrame, width: int = 4096) -> DataFrame:
+    """points (tu, pos) with file, line and column (from 1) of the line that holds the position; nulls where none does.
+
+    lines is (tu, file, line, lo, hi): the positions of each line of each file of a unit, half-open.
+    """
+    spots = points.select("tu", "pos").distinct()
+    found = containing(spots, lines, ["tu"], "pos", "lo", "hi", width).select("tu", "pos", "file", "line", (F.col("pos") - F.col("lo") + 1).alias("column"))
+    return points.join(found, ["tu", "pos"], "left")

@@ -64,6 +64,11 @@ def selected(reasons: DataFrame) -> DataFrame:
     return reasons.distinct().groupBy("test").agg(F.coalesce(F.min(F.when(F.col("reason") != "AlwaysRun", F.col("distance"))), F.lit(FAR)).alias("score"), F.count("*").alias("n_reasons"), F.every(F.col("reason") == "AlwaysRun").alias("only_always"))
 
 
+def with_reasons(order: DataFrame, reasons: DataFrame) -> DataFrame:
+    """rank, test, reason, distance, why: every reason of every ranked test as a row, so that no test's list is in one place."""
+    return order.select("test", "rank").join(reasons.distinct(), "test").select("rank", "test", "reason", "distance", "why")
+
+
 def ranked(chosen: DataFrame) -> DataFrame:
     """chosen with rank from 1 by (score, test).
 

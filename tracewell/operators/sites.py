@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.fixpoint import ancestors, roots
+from tracewell.operators.fixpoint import roots, upward
 
 PLACE = ["file", "line", "col", "item_line", "item_col"]
 
@@ -18,21 +18,23 @@ def expansion_depth(parents: DataFrame) -> DataFrame:
     return roots(parents)
 
 
+def _parents(expansion: DataFrame) -> DataFrame:
+    return expansion.select(F.struct("tu", "ctx").alias("node"), F.when(F.col("parent").isNotNull(), F.struct("tu", F.col("parent").alias("ctx"))).alias("parent"))
+
+
 def chains(expansion: DataFrame, wanted: DataFrame) -> DataFrame:
     """tu, ctx, chain: macro names from the expansion out to its root, for each wanted (tu, ctx)."""
     node = F.struct("tu", "ctx")
-    up = ancestors(expansion.select(node.alias("node"), F.when(F.col("parent").isNotNull(), F.struct("tu", F.col("parent").alias("ctx"))).alias("parent")))
-    names = expansion.select(node.alias("ancestor"), "macro")
-    own = wanted.join(expansion, ["tu", "ctx"]).select(node.alias("node"), node.alias("ancestor"), F.lit(0).alias("depth"))
-    out = own.unionByName(up.join(own.select("node"), "node", "left_semi"))
-    return out.join(names, "ancestor").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "macro"))), lambda x: x["macro"]).alias("chain")).select("node.tu", "node.ctx", "chain")
+    names = expansion.select(node.alias("node"), "macro")
+    up = upward(wanted.select(node.alias("node")).distinct().join(names, "node", "left_semi"), _parents(expansion))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("depth", "macro"))), lambda x: x["macro"])
+    return up.join(names, "node").groupBy("start").agg(listed.alias("chain")).select("start.tu", "start.ctx", "chain")
 
 
 def leaves_at(expansion: DataFrame, matched: DataFrame) -> DataFrame:
     """Of matched (tu, ctx): those that are no ancestor of another matched one."""
     node = F.struct("tu", "ctx")
-    up = ancestors(expansion.select(node.alias("node"), F.when(F.col("parent").isNotNull(), F.struct("tu", F.col("parent").alias("ctx"))).alias("parent")))
-    inner = up.join(matched.select(node.alias("node")), "node", "left_semi").select("ancestor.tu", "ancestor.ctx").distinct()
+    inner = upward(matched.select(node.alias("node")), _parents(expansion)).where("depth > 0").select("node.tu", "node.ctx").distinct()
     return matched.join(inner, ["tu", "ctx"], "left_anti")
 
 

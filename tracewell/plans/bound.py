@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.envelope import determinism_key
+from tracewell.functions import bits
 from tracewell.functions.facts import saturating_sum
 from tracewell.functions.paths import basename, glob_match, normalized
-from tracewell.operators import builds, coverage, findings, fixpoint, impact, intervals, layout, recipes, selection, sites, sweep
+from tracewell.operators import builds, coverage, findings, fixpoint, graphs, impact, intervals, layout, recipes, selection, sites, sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -53,7 +54,7 @@ REC = """rec AS (SELECT l_suppkey AS file, l_partkey AS line, l_orderkey % 97 AS
   CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS BIGINT) ELSE 0 END AS count FROM lineitem)"""
 TESTS_OF = f"""{REC}, tests_of AS (SELECT file, line, coalesce(list(DISTINCT test) FILTER (WHERE count > 0), []) AS tests FROM rec GROUP BY file, line)"""
 TEST = f"""{REC}, test AS (SELECT o_orderkey AS test, CASE o_orderstatus WHEN 'F' THEN 'Passed' WHEN 'O' THEN 'Crashed' ELSE 'Failed' END AS outcome,
-  o_orderkey IN (SELECT test FROM rec) AS ingested FROM orders WHERE o_orderkey < 100)"""
+  o_orderkey IN (SELECT test FROM rec) AS ingested FROM orders)"""
 TEXT = "array_to_string(list_sort({}), ',')"
 
 
@@ -69,7 +70,7 @@ def sets(spark: SparkSession, d: str) -> DataFrame:
 def tests(spark: SparkSession, d: str) -> DataFrame:
     known = records(spark, d).select("test").distinct().withColumn("ingested", F.lit(True))
     outcome = F.when(F.col("o_orderstatus") == "F", "Passed").when(F.col("o_orderstatus") == "O", "Crashed").otherwise("Failed")
-    t = table(spark, d, "orders").where("o_orderkey < 100").select(F.col("o_orderkey").alias("test"), outcome.alias("outcome"))
+    t = table(spark, d, "orders").select(F.col("o_orderkey").alias("test"), outcome.alias("outcome"))
     return t.join(known, "test", "left").withColumn("ingested", F.coalesce("ingested", F.lit(False)))
 
 
@@ -111,12 +112,12 @@ def _(spark, d):
 
 @query(
     "tests_for_range",
-    f"""WITH {REC}, asked AS (SELECT c_custkey AS ask, c_custkey % 10 AS file, c_custkey AS lo, c_custkey + c_nationkey AS hi FROM customer WHERE c_custkey < 400)
+    f"""WITH {REC}, asked AS (SELECT c_custkey AS ask, c_custkey % 10 AS file, c_custkey AS lo, c_custkey + c_nationkey AS hi FROM customer)
 SELECT ask, CASE WHEN bool_or(rec.file IS NOT NULL) THEN {TEXT.format('coalesce(list(DISTINCT test) FILTER (WHERE count > 0), [])')} END AS tests
 FROM asked LEFT JOIN rec ON rec.file = asked.file AND rec.line BETWEEN lo AND hi GROUP BY ask""",
 )
 def _(spark, d):
-    asked = table(spark, d, "customer").where("c_custkey < 400").select(F.col("c_custkey").alias("ask"), (F.col("c_custkey") % 10).alias("file"), F.col("c_custkey").alias("lo"), (F.col("c_custkey") + F.col("c_nationkey")).alias("hi"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("ask"), (F.col("c_custkey") % 10).alias("file"), F.col("c_custkey").alias("lo"), (F.col("c_custkey") + F.col("c_nationkey")).alias("hi"))
     return coverage.tests_for_ranges(sets(spark, d), asked).select("ask", shown())
 
 
@@ -299,14 +300,14 @@ def _(spark, d):
     return impact.zipped_conditions(pairs)
 
 
-EDGE = "edge AS (SELECT DISTINCT o_custkey AS src, CAST(floor(o_totalprice) AS BIGINT) % 149 AS dst FROM orders WHERE o_orderpriority = '1-URGENT')"
+EDGE = "edge AS (SELECT DISTINCT o_custkey AS src, CAST(floor(o_totalprice) AS BIGINT) % (SELECT count(*) FROM customer) AS dst FROM orders WHERE o_orderpriority = '1-URGENT')"
 REACH = f"{EDGE}, r(node) AS (SELECT range FROM range(3) UNION SELECT dst FROM r JOIN edge ON src = node)"
 DEPTH = f"{EDGE}, r(node, distance) AS (SELECT range, 0 FROM range(3) UNION SELECT dst, distance + 1 FROM r JOIN edge ON src = node WHERE distance < 40)"
 
 
 def _edges(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
-    return spark.range(3).withColumnRenamed("id", "node"), urgent.select(F.col("o_custkey").alias("src"), (F.floor("o_totalprice").cast("long") % 149).alias("dst"), F.col("o_orderkey").alias("ord"))
+    urgent, n = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'"), table(spark, d, "customer").count()
+    return spark.range(3).withColumnRenamed("id", "node"), urgent.select(F.col("o_custkey").alias("src"), (F.floor("o_totalprice").cast("long") % n).alias("dst"), F.col("o_orderkey").alias("ord"))
 
 
 @query("impact_closure", f"WITH RECURSIVE {REACH} SELECT node FROM r")
@@ -322,7 +323,7 @@ def _(spark, d):
 @query("impact_set")
 def _(spark, d):
     """Classes, roots and paths: the tie-breaks are tested against a brute-force version."""
-    changed = impact.classified(impact.entity_diff(*_entities(spark, d))).where("kind = 'Function'")
+    changed = impact.classified(impact.entity_diff(*_entities(spark, d)))
     part = table(spark, d, "part")
     name = lambda c: F.concat("p_name", c)
     key = F.col("p_partkey")
@@ -332,15 +333,15 @@ def _(spark, d):
 
 @query(
     "address_taken_theta",
-    """WITH f AS (SELECT c_name AS callee, c_nationkey % 5 AS params, c_custkey % 7 = 0 AS any_more FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 3 = 0)
-SELECT o_orderkey AS name, min(callee) AS callee, 1 AS distance FROM orders JOIN f ON o_orderkey % 6 = params OR (any_more AND o_orderkey % 6 >= params) WHERE o_orderkey < 500 GROUP BY 1""",
+    """WITH f AS (SELECT c_name AS callee, c_nationkey % 5 AS params, c_custkey % 7 = 0 AS any_more FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0)
+SELECT o_orderkey AS name, min(callee) AS callee, 1 AS distance FROM orders JOIN f ON o_orderkey % 6 = params OR (any_more AND o_orderkey % 6 >= params) GROUP BY 1""",
 )
 def _(spark, d):
     customer = table(spark, d, "customer")
-    f = customer.where("c_custkey % 10 = 0").select(F.lit("Function").alias("kind"), F.lit("f.c").alias("file"), F.col("c_name").alias("name"))
+    f = customer.where("c_mktsegment = 'BUILDING'").select(F.lit("Function").alias("kind"), F.lit("f.c").alias("file"), F.col("c_name").alias("name"))
     arity = customer.select(F.col("c_name").alias("name"), (F.col("c_nationkey") % 5).alias("params"), (F.col("c_custkey") % 7 == 0).alias("variadic"))
-    taken = customer.where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"))
-    holders = table(spark, d, "orders").where("o_orderkey < 500").select(F.lit("Function").alias("kind"), F.lit("g.c").alias("file"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 6).cast("int").alias("args"))
+    taken = customer.where("c_acctbal > 0").select(F.col("c_name").alias("name"))
+    holders = table(spark, d, "orders").select(F.lit("Function").alias("kind"), F.lit("g.c").alias("file"), F.col("o_orderkey").alias("name"), (F.col("o_orderkey") % 6).cast("int").alias("args"))
     return impact.indirect_holders(f, holders, arity, taken).select("name", "callee", "distance")
 
 
@@ -350,20 +351,20 @@ def _(spark, d):
     return impact.completeness(gaps, ["c_nationkey"])
 
 
-@query("components", f"WITH RECURSIVE {EDGE}, e AS (SELECT src AS a, dst AS b FROM edge WHERE src < 40 UNION SELECT dst, src FROM edge WHERE src < 40), r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
+@query("components", f"WITH RECURSIVE {EDGE}, e AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge), r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node")
 def _(spark, d):
-    edges = _edges(spark, d)[1].where("src < 40")
+    edges = _edges(spark, d)[1]
     return fixpoint.connected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 # Selection ---------------------------------------------------------------------------------------------------------
 
-CHOICE = f"""{TESTS_OF}, imp AS (SELECT p_partkey % 100 AS file, p_name || p_partkey AS name, p_partkey AS line, p_partkey % 4 AS distance, p_partkey % 20 = 0 AS proven FROM part WHERE p_partkey % 10 = 0),
+CHOICE = f"""{TESTS_OF}, imp AS (SELECT p_partkey % 100 AS file, p_name || p_partkey AS name, p_partkey AS line, p_partkey % 4 AS distance, p_size < 48 AS proven FROM part),
 hit AS (SELECT unnest(t.tests) AS test, imp.file, name, distance, proven FROM imp JOIN tests_of t ON t.file = imp.file AND t.line = imp.line),
-test AS (SELECT o_orderkey AS test, CASE o_orderstatus WHEN 'F' THEN 'Passed' WHEN 'O' THEN 'Crashed' ELSE 'Failed' END AS outcome, o_orderkey IN (SELECT test FROM rec) AS ingested FROM orders WHERE o_orderkey < 100),
+test AS (SELECT o_orderkey AS test, CASE o_orderstatus WHEN 'F' THEN 'Passed' WHEN 'O' THEN 'Crashed' ELSE 'Failed' END AS outcome, o_orderkey IN (SELECT test FROM rec) AS ingested FROM orders),
 safe AS (SELECT test, 'no complete coverage' AS why FROM test WHERE NOT (outcome IN ('Passed', 'Failed') AND ingested)
   UNION SELECT test, 'no line attributed' FROM test WHERE ingested AND test NOT IN (SELECT unnest(tests) FROM tests_of)
-  UNION SELECT o_orderkey, 'never measured' FROM orders WHERE o_orderkey < 110 AND o_orderkey NOT IN (SELECT test FROM test WHERE ingested)),
+  UNION SELECT o_orderkey, 'never measured' FROM orders WHERE o_orderkey NOT IN (SELECT test FROM test WHERE ingested)),
 cov AS (SELECT test, min(distance) AS distance, file, name FROM hit GROUP BY test, file, name),
 chosen AS (SELECT test, coalesce(min(distance), 2147483647) AS score, count(*) AS n_reasons, bool_and(distance IS NULL) AS only_always
   FROM (SELECT test, distance, name || file AS why FROM cov UNION ALL SELECT test, NULL, why FROM safe) GROUP BY test),
@@ -371,12 +372,12 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY score, test) AS rank FROM chose
 
 
 def _choice(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    part = table(spark, d, "part").where("p_partkey % 10 = 0")
+    part = table(spark, d, "part")
     key = F.col("p_partkey")
     entity = [F.lit("Function").alias("kind"), (key % 100).alias("file"), F.concat("p_name", key).alias("name")]
     found = {"impacted": part.select(*entity, (key % 4).cast("int").alias("distance")), "lines": part.select(*entity, key.alias("line")), "tests_of": coverage.tests_for_lines(sets(spark, d)), "tests": tests(spark, d)}
-    found["verdicts"] = part.where("p_partkey % 20 = 0").select(*entity, F.lit("Equivalent").alias("verdict"), F.lit("exact").alias("fidelity"))
-    found["suite"] = table(spark, d, "orders").where("o_orderkey < 110").select(F.col("o_orderkey").alias("test"))
+    found["verdicts"] = part.where("p_size < 48").select(*entity, F.lit("Equivalent").alias("verdict"), F.lit("exact").alias("fidelity"))
+    found["suite"] = table(spark, d, "orders").select(F.col("o_orderkey").alias("test"))
     return found
 
 
@@ -433,20 +434,20 @@ def _(spark, d):
 
 @query(
     "recall_reduction",
-    """WITH need AS (SELECT DISTINCT o_custkey % 8 AS mutation, o_orderkey % 97 AS test FROM orders WHERE o_orderstatus = 'F' AND o_orderkey < 400),
-got AS (SELECT DISTINCT o_custkey % 8 AS mutation, o_orderkey % 97 AS test FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey < 300),
+    """WITH need AS (SELECT DISTINCT o_custkey AS mutation, o_orderkey % 97 AS test FROM orders WHERE o_orderstatus = 'F'),
+got AS (SELECT DISTINCT o_custkey AS mutation, o_orderkey % 97 AS test FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice > 100000),
 b AS (SELECT mutation, need.test IS NOT NULL AS n, got.test IS NOT NULL AS g FROM need FULL JOIN got USING (mutation, test))
 SELECT count(*) FILTER (WHERE n) AS required, count(*) FILTER (WHERE n AND g) AS hit, count(*) FILTER (WHERE n AND g) / count(*) FILTER (WHERE n) AS recall, count(*) FILTER (WHERE g) AS n_selected,
 (count(DISTINCT mutation) * 97 - count(*) FILTER (WHERE g)) / (count(DISTINCT mutation) * 97) AS reduction FROM b""",
 )
 def _(spark, d):
-    o = table(spark, d, "orders").select((F.col("o_custkey") % 8).alias("mutation"), (F.col("o_orderkey") % 97).alias("test"), "o_orderstatus", "o_orderkey")
-    return selection.recall(o.where("o_orderstatus = 'F' and o_orderkey < 400").select("mutation", "test"), o.where("o_orderstatus <> 'P' and o_orderkey < 300").select("mutation", "test"), 97)
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("mutation"), (F.col("o_orderkey") % 97).alias("test"), "o_orderstatus", "o_totalprice")
+    return selection.recall(o.where("o_orderstatus = 'F'").select("mutation", "test"), o.where("o_orderstatus <> 'P' and o_totalprice > 100000").select("mutation", "test"), 97)
 
 
-@query("baseline_selection", f"WITH {TESTS_OF} SELECT DISTINCT p_partkey % 8 AS mutation, unnest(tests) AS test FROM part JOIN tests_of ON file = p_partkey % 100 AND line = p_partkey WHERE p_partkey % 10 = 0")
+@query("baseline_selection", f"WITH {TESTS_OF} SELECT DISTINCT p_partkey % 8 AS mutation, unnest(tests) AS test FROM part JOIN tests_of ON file = p_partkey % 100 AND line = p_partkey")
 def _(spark, d):
-    lines = table(spark, d, "part").where("p_partkey % 10 = 0").select((F.col("p_partkey") % 8).alias("mutation"), (F.col("p_partkey") % 100).alias("file"), F.col("p_partkey").alias("line"))
+    lines = table(spark, d, "part").select((F.col("p_partkey") % 8).alias("mutation"), (F.col("p_partkey") % 100).alias("file"), F.col("p_partkey").alias("line"))
     return selection.baseline(lines, coverage.tests_for_lines(sets(spark, d)))
 
 
@@ -738,3 +739,214 @@ def _(spark, d):
 def _(spark, d):
     """One digest; tests compare it over partitionings and row orders."""
     return determinism_key(_queries["select_rank"](spark, d), "select_rank")
+
+
+# Positions, spans, compact sets ------------------------------------------------------------------------------------------
+
+LINES = "spot AS (SELECT p_size AS tu, p_brand AS file, p_partkey AS line, p_partkey * 16 AS lo, p_partkey * 16 + 1 + p_partkey % 16 AS hi FROM part)"
+
+
+@query(
+    "lookup_loc",
+    f"""WITH {LINES}, point AS (SELECT o_orderkey, o_custkey % 50 + 1 AS tu, o_orderkey AS pos FROM orders)
+SELECT o_orderkey, file, line, pos - lo + 1 AS "column" FROM point LEFT JOIN spot ON spot.tu = point.tu AND pos >= lo AND pos < hi""",
+)
+def _(spark, d):
+    key = F.col("p_partkey")
+    lines = table(spark, d, "part").select(F.col("p_size").alias("tu"), F.col("p_brand").alias("file"), key.alias("line"), (key * 16).alias("lo"), (key * 16 + 1 + key % 16).alias("hi"))
+    points = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50 + 1).alias("tu"), F.col("o_orderkey").alias("pos"))
+    return intervals.located(points, lines).select("o_orderkey", "file", "line", "column")
+
+
+@query(
+    "tests_for_span",
+    f"""WITH {REC}, span AS (SELECT c_custkey AS ask, CASE WHEN c_nationkey < 5 THEN c_custkey - c_custkey % 8 END AS root, c_nationkey, c_custkey FROM customer),
+asked AS (SELECT ask, CASE WHEN c_nationkey < 5 THEN p_partkey % 10 ELSE c_custkey % 10 END AS file, CASE WHEN c_nationkey < 5 THEN p_partkey ELSE c_custkey END AS lo,
+  CASE WHEN c_nationkey < 5 THEN p_partkey ELSE c_custkey + c_nationkey END AS hi FROM span LEFT JOIN part ON p_partkey = root)
+SELECT ask, CASE WHEN bool_or(rec.file IS NOT NULL) THEN {TEXT.format('coalesce(list(DISTINCT test) FILTER (WHERE count > 0), [])')} END AS tests
+FROM asked LEFT JOIN rec ON rec.file = asked.file AND rec.line BETWEEN lo AND hi GROUP BY ask""",
+)
+def _(spark, d):
+    key, own = F.col("p_partkey"), F.col("c_custkey")
+    expansion = table(spark, d, "part").select(F.lit("t").alias("tu"), key.alias("ctx"), F.when(key % 8 != 0, key - 1).alias("parent"), (key % 10).alias("file"), key.alias("line"))
+    spans = table(spark, d, "customer").select(own.alias("ask"), (own % 10).alias("file"), own.alias("lo"), (own + F.col("c_nationkey")).alias("hi"), F.lit("t").alias("tu"), F.when(F.col("c_nationkey") < 5, own).alias("ctx"))
+    return coverage.tests_for_spans(sets(spark, d), spans, expansion).select("ask", shown())
+
+
+@query("variants", f"WITH {REC} SELECT DISTINCT variant FROM rec")
+def _(spark, d):
+    return coverage.variants(sets(spark, d))
+
+
+@query("tests", f"WITH {REC} SELECT DISTINCT test FROM rec")
+def _(spark, d):
+    return coverage.tests_seen(records(spark, d))
+
+
+@query("compact_sets", f"WITH {REC} SELECT file, line, count(DISTINCT test) AS n_tests FROM rec WHERE count > 0 GROUP BY file, line")
+def _(spark, d):
+    return coverage.compact_sets(sets(spark, d)).groupBy("file", "line").agg(F.sum(F.bitmap_count("bits")).alias("n_tests"))
+
+
+@query(
+    "compact_union",
+    f"""WITH {REC}, asked AS (SELECT p_partkey % 300 AS ask, p_partkey % 10 AS file, p_partkey AS line FROM part)
+SELECT ask, count(DISTINCT test) FILTER (WHERE count > 0) AS n_tests FROM asked LEFT JOIN rec ON rec.file = asked.file AND rec.line = asked.line GROUP BY ask""",
+)
+def _(spark, d):
+    asked = table(spark, d, "part").select((F.col("p_partkey") % 300).alias("ask"), (F.col("p_partkey") % 10).alias("file"), F.col("p_partkey").alias("line"))
+    return coverage.compact_union(coverage.compact_sets(sets(spark, d)), asked)
+
+
+@query("select_reasons", f"WITH {CHOICE} SELECT CAST(rank AS INTEGER) AS rank, test, reason, CAST(distance AS INTEGER) AS distance, why FROM ranked JOIN (SELECT test, 'Covers' AS reason, distance, 'Function:' || file || ':' || name AS why FROM cov UNION ALL SELECT test, 'AlwaysRun', NULL, why FROM safe) USING (test)")
+def _(spark, d):
+    c = _choice(spark, d)
+    why = selection.covered_by(c["impacted"], c["lines"], c["tests_of"]).unionByName(selection.safety_set(c["tests"], c["tests_of"], c["suite"]))
+    return selection.with_reasons(selection.ranked(selection.selected(why)), why)
+
+
+@query(
+    "condition_diff",
+    """WITH a AS (SELECT o_custkey AS tu, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderstatus || ' ' || o_orderpriority AS v FROM orders),
+b AS (SELECT o_custkey AS tu, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, o_orderstatus || ' ' || o_orderpriority AS v FROM orders WHERE o_totalprice < 300000)
+SELECT tu, CAST(pos AS INTEGER) AS pos, a.v AS old, b.v AS new FROM a FULL JOIN b USING (tu, pos) WHERE a.v IS DISTINCT FROM b.v""",
+)
+def _(spark, d):
+    place = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    side = lambda o: o.select(F.col("o_custkey").alias("tu"), (F.row_number().over(place) - 1).alias("ord"), F.col("o_orderstatus").alias("directive"), F.array("o_orderpriority").alias("tokens"))
+    orders = table(spark, d, "orders")
+    return impact.changed_conditions(side(orders), side(orders.where("o_totalprice < 300000")))
+
+
+# Graphs --------------------------------------------------------------------------------------------------------------
+
+USES = "uses AS (SELECT DISTINCT s_nationkey AS src, CAST(floor(abs(s_acctbal)) AS BIGINT) % 25 AS dst FROM supplier WHERE s_acctbal > 0)"
+#: Blocks of a function (p_size) numbered from 0; a block leads to two later ones, some jump ahead or back.
+FLOW = """block AS (SELECT p_size AS func, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS node, p_retailprice > 1200 AS jumps FROM part),
+size AS (SELECT func, count(*) AS n FROM block GROUP BY func),
+flow AS (SELECT func, node AS src, unnest(CASE WHEN jumps THEN [2 * node + 1, node + 3, node // 2] ELSE [2 * node + 1] END) AS dst FROM block),
+edge AS (SELECT DISTINCT flow.func, src, dst FROM flow JOIN size USING (func) WHERE dst < n),
+reach(func, node) AS (SELECT func, 0 FROM size UNION SELECT edge.func, dst FROM reach JOIN edge ON edge.func = reach.func AND src = node)"""
+
+
+def _uses(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("src"), (F.floor(F.abs("s_acctbal")).cast("long") % 25).alias("dst"))
+
+
+def _flow(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    place = Window.partitionBy("p_size").orderBy("p_partkey")
+    blocks = table(spark, d, "part").select(F.col("p_size").alias("func"), (F.row_number().over(place) - 1).cast("long").alias("node"), (F.col("p_retailprice") > 1200).alias("jumps"))
+    sizes = blocks.groupBy("func").agg(F.count("*").alias("n"))
+    x = F.col("node")
+    to = F.when(F.col("jumps"), F.array(2 * x + 1, x + 3, F.floor(x / 2))).otherwise(F.array(2 * x + 1))
+    edges = blocks.select("func", x.alias("src"), F.explode(to).alias("dst")).join(sizes, "func").where("dst < n").select("func", "src", "dst")
+    return blocks, edges, sizes.select("func", F.lit(0).cast("long").alias("node"))
+
+
+@query("dependency_cycles", f"WITH RECURSIVE {USES}, r(a, b) AS (SELECT src, dst FROM uses UNION SELECT a, dst FROM r JOIN uses ON src = b) SELECT x.a AS node, max(y.a) AS component FROM r x JOIN r y ON x.b = y.a AND y.b = x.a GROUP BY x.a")
+def _(spark, d):
+    return graphs.cycles(_uses(spark, d))
+
+
+@query("dependency_layers", f"WITH {USES} SELECT src, dst FROM uses JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst WHERE a.n_regionkey < b.n_regionkey")
+def _(spark, d):
+    return graphs.layering(_uses(spark, d), table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("layer")))
+
+
+@query("unreachable_blocks", f"WITH RECURSIVE {FLOW} SELECT func, node FROM block WHERE (func, node) NOT IN (SELECT func, node FROM reach)")
+def _(spark, d):
+    return graphs.unreachable(*_flow(spark, d))
+
+
+@query(
+    "dominators",
+    f"""WITH RECURSIVE {FLOW}, around(func, out, node) AS (SELECT func, node, CAST(0 AS BIGINT) FROM reach WHERE node <> 0 UNION SELECT a.func, a.out, edge.dst FROM around a JOIN edge ON edge.func = a.func AND edge.src = a.node WHERE edge.dst <> a.out),
+dom AS (SELECT r.func, r.node, o.node AS dominator FROM reach r JOIN reach o ON o.func = r.func AND o.node <> r.node WHERE (r.func, o.node, r.node) NOT IN (SELECT func, out, node FROM around)),
+depth AS (SELECT func, node, count(*) AS depth FROM dom GROUP BY func, node)
+SELECT dom.func, CAST(dom.node AS BIGINT) AS node, CAST(dominator AS BIGINT) AS dominator, coalesce(depth, 0) = max(coalesce(depth, 0)) OVER (PARTITION BY dom.func, dom.node) AS immediate FROM dom LEFT JOIN depth ON depth.func = dom.func AND depth.node = dominator""",
+)
+def _(spark, d):
+    _, edges, entries = _flow(spark, d)
+    return graphs.dominators(edges, entries)
+
+
+# Fixed-width integers --------------------------------------------------------------------------------------------------
+
+WIDTHS = (8, 16, 32)
+#: x and y of every order; sh shifts beyond the width, too.
+WORDS = "word AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * 1000003 - 50000000 + CAST(floor(o_totalprice) AS BIGINT) AS x, CAST(o_custkey % 7 - 3 AS HUGEINT) AS y, o_custkey % 40 AS sh FROM orders)"
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 1000003 - 50000000 + F.floor("o_totalprice")).cast("long").alias("x"), (F.col("o_custkey") % 7 - 3).cast("long").alias("y"), (F.col("o_custkey") % 40).cast("long").alias("sh"))
+
+
+def _wrap(x: str, w: int) -> str:
+    m = 1 << w
+    return f"CAST((({x}) % {m} + {m}) % {m} - CASE WHEN (({x}) % {m} + {m}) % {m} >= {m // 2} THEN {m} ELSE 0 END AS BIGINT)"
+
+
+def _bits_sql(w: int) -> dict[str, str]:
+    u = lambda v: f"(CASE WHEN {v} < 0 THEN {v} + {1 << w} ELSE {v} END)"
+    p = "CAST(power(2, sh) AS HUGEINT)"
+    return {
+        "Add": _wrap("a + y", w), "Sub": _wrap("a - y", w), "Mul": _wrap("a * CAST(a AS HUGEINT)", w),
+        "UDiv": f"CASE WHEN y = 0 THEN -1 ELSE {_wrap(f'{u("a")} // {u("y")}', w)} END",
+        "SDiv": f"CASE WHEN y = 0 THEN CASE WHEN a < 0 THEN 1 ELSE -1 END ELSE {_wrap('sign(a) * sign(y) * (abs(a) // abs(y))', w)} END",
+        "URem": f"CASE WHEN y = 0 THEN a ELSE {_wrap(f'{u("a")} % {u("y")}', w)} END",
+        "SRem": "CAST(CASE WHEN y = 0 THEN a ELSE sign(a) * (abs(a) % abs(y)) END AS BIGINT)",
+        "And": "a & CAST(y AS BIGINT)", "Or": "a | CAST(y AS BIGINT)", "Xor": "xor(a, CAST(y AS BIGINT))",
+        "Shl": f"CASE WHEN sh >= {w} THEN 0 ELSE {_wrap(f'a * {p}', w)} END",
+        "LShr": f"CASE WHEN sh >= {w} THEN 0 ELSE {_wrap(f'{u("a")} // {p}', w)} END",
+        "AShr": f"CAST(CASE WHEN sh >= {w} THEN CASE WHEN a < 0 THEN -1 ELSE 0 END ELSE (a - (a % {p} + {p}) % {p}) // {p} END AS BIGINT)",
+    }
+
+
+@query("ir_binary", f"WITH {WORDS}" + "".join(f", w{w} AS (SELECT o_orderkey, {w} AS width, {', '.join(f'{e} AS {n.lower()}_' for n, e in _bits_sql(w).items())} FROM (SELECT o_orderkey, {_wrap('x', w)} AS a, y, sh FROM word))" for w in WIDTHS) + " " + " UNION ALL ".join(f"SELECT * FROM w{w}" for w in WIDTHS))
+def _(spark, d):
+    out, words = None, _words(spark, d)
+    for w in WIDTHS:
+        a, y, sh = bits.truncated(F.col("x"), w), F.col("y"), F.col("sh")
+        other = {"Mul": a, "Shl": sh, "LShr": sh, "AShr": sh}
+        rows = words.select("o_orderkey", F.lit(w).alias("width"), *(f(a, other.get(n, y), w).cast("long").alias(f"{n.lower()}_") for n, f in bits.BINARY.items()))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("ir_unary", f"WITH {WORDS} " + " UNION ALL ".join(f"SELECT o_orderkey, {w} AS width, {_wrap('-a', w)} AS neg, -1 - a AS not_ FROM (SELECT o_orderkey, {_wrap('x', w)} AS a FROM word)" for w in WIDTHS))
+def _(spark, d):
+    a = {w: bits.truncated(F.col("x"), w) for w in WIDTHS}
+    each = [_words(spark, d).select("o_orderkey", F.lit(w).alias("width"), bits.UNARY["Neg"](a[w], w).alias("neg"), bits.UNARY["Not"](a[w], w).alias("not_")) for w in WIDTHS]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+_SIGNS = {"Lt": "<", "Le": "<=", "Gt": ">", "Ge": ">="}
+
+
+@query("ir_compare", f"WITH {WORDS} " + " UNION ALL ".join(f"SELECT {w} AS width, count(*) FILTER (WHERE a = y) AS eq, count(*) FILTER (WHERE a <> y) AS ne, {', '.join(f'count(*) FILTER (WHERE a {c} y) AS s{n.lower()}, count(*) FILTER (WHERE (a + {1 << w}) % {1 << w} {c} (y + {1 << w}) % {1 << w}) AS u{n.lower()}' for n, c in _SIGNS.items())} FROM (SELECT {_wrap('x', w)} AS a, y FROM word)" for w in WIDTHS))
+def _(spark, d):
+    out = None
+    for w in WIDTHS:
+        a, y = bits.truncated(F.col("x"), w), F.col("y")
+        rows = _words(spark, d).agg(*(F.count_if(f(a, y, w)).alias(n.lower()) for n, f in bits.COMPARE.items())).select(F.lit(w).alias("width"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("ir_cast", f"WITH {WORDS} SELECT o_orderkey, {_wrap('x', 8)} AS trunc8, {_wrap('x', 16)} AS trunc16, CAST(({_wrap('x', 8)} + 256) % 256 AS BIGINT) AS zext, {_wrap('x', 8)} AS sext, CAST(({_wrap('x', 16)} + 65536) % 65536 AS DOUBLE) AS ui_to_fp, CAST({_wrap('x', 16)} AS DOUBLE) AS si_to_fp FROM word")
+def _(spark, d):
+    x, cast = F.col("x"), bits.CAST
+    low = cast["Trunc"](x, 64, 8)
+    return _words(spark, d).select("o_orderkey", low.alias("trunc8"), cast["Trunc"](x, 64, 16).alias("trunc16"), cast["ZExt"](low, 8, 32).alias("zext"), cast["SExt"](low, 8, 32).alias("sext"), cast["UiToFp"](cast["Trunc"](x, 64, 16), 16, 64).alias("ui_to_fp"), cast["SiToFp"](cast["Trunc"](x, 64, 16), 16, 64).alias("si_to_fp"))
+
+
+@query(
+    "ir_builtins",
+    f"""WITH {WORDS}, t AS (SELECT o_orderkey, CAST({_wrap('x', 32)} AS HUGEINT) AS a, y, CAST(({_wrap('x', 32)} + 4294967296) % 4294967296 AS BIGINT) AS u FROM word)
+SELECT o_orderkey, a + y NOT BETWEEN -2147483648 AND 2147483647 AS add_over, a - y NOT BETWEEN -2147483648 AND 2147483647 AS sub_over, a * a NOT BETWEEN -2147483648 AND 2147483647 AS mul_over,
+CAST(CASE WHEN u <> 0 THEN 32 - length(bin(u)) END AS INTEGER) AS clz, CAST(CASE WHEN u <> 0 THEN length(bin(u)) - length(rtrim(bin(u), '0')) END AS INTEGER) AS ctz, CAST(bit_count(u) AS INTEGER) AS popcount,
+{_wrap('(u % 256) * 16777216 + (u // 256 % 256) * 65536 + (u // 65536 % 256) * 256 + u // 16777216', 32)} AS bswap FROM t""",
+)
+def _(spark, d):
+    a, y = bits.truncated(F.col("x"), 32), F.col("y")
+    return _words(spark, d).select("o_orderkey", bits.overflows("Add", a, y, 32).alias("add_over"), bits.overflows("Sub", a, y, 32).alias("sub_over"), bits.overflows("Mul", a, a, 32).alias("mul_over"), bits.leading_zeros(a, 32).alias("clz"), bits.trailing_zeros(a, 32).alias("ctz"), bits.popcount(a, 32).alias("popcount"), bits.byte_swapped(a, 32).alias("bswap"))

@@ -36,12 +36,14 @@ class Facts:
 
 def _impact(f: Facts) -> tuple[DataFrame, impact.Completeness]:
     before, after = f.need("before"), f.need("after")
-    changed = impact.classified(impact.entity_diff(csource.fingerprints(before), csource.fingerprints(after)))
+    shapes = [f.get(n) for n in ("record_before", "record_after", "field_before", "field_after")]
+    records = impact.record_changes(*shapes) if all(x is not None for x in shapes) else None
+    changed = impact.classified(impact.entity_diff(csource.fingerprints(before), csource.fingerprints(after)), records)
     edges = csource.edges(before).unionByName(csource.edges(after, 1 << 40))
     both = before.unionByName(after)
     unclean = both.where("fact = 'status' and not clean").select("file").distinct()
     files = tuple(sorted(r["file"] for r in unclean.collect()))  # units of the change
-    condition = lambda d: d.where("fact = 'condition'").select("ord", F.col("name").alias("directive"), F.col("head").alias("tokens"))
+    condition = lambda d: d.where("fact = 'condition'").select("tu", "ord", F.col("name").alias("directive"), F.col("head").alias("tokens"))
     conditions = tuple(r["text"] for r in impact.changed_conditions(condition(before), condition(after)).select(F.coalesce("new", "old").alias("text")).collect())
     taken = both.where("fact = 'address_taken'").select(F.col("other").alias("name")).distinct()
     arity = after.where("fact = 'fingerprint' and kind = 'Function'").select("name", "params", "variadic").dropDuplicates(["name"])
@@ -63,8 +65,11 @@ def impact_of(f: Facts) -> Envelope:
     return out.downgrade(Fidelity.bounded, "; ".join(selection.confidence(gaps).reasons))
 
 
-def select_tests(f: Facts, budget: int | None = None) -> Envelope:
-    """Ranked tests to run for the change; needs before, after, sets (coverage index) and test."""
+def select_tests(f: Facts, budget: int | None = None, reasons: bool = False) -> Envelope:
+    """Ranked tests to run for the change; needs before, after, sets (coverage index) and test.
+
+    With reasons, a row for each reason of each test: the entity whose lines it executed and at which distance, or why it must run.
+    """
     found, gaps = _impact(f)
     tests_of, tests = coverage.tests_for_lines(f.need("sets")), f.need("test")
     state, stale, missing = "Fresh", (), None
@@ -74,8 +79,8 @@ def select_tests(f: Facts, budget: int | None = None) -> Envelope:
         missing = coverage.always_run(tests)
     kept, proven = selection.refined(found, f.get("verdict"))
     lines = csource.entity_lines(f.need("after"))
-    reasons = selection.covered_by(kept, lines, tests_of).unionByName(selection.safety_set(tests, tests_of, f.get("suite"), state, missing, gaps.complete))
-    order = selection.ranked(selection.selected(reasons))
+    why = selection.covered_by(kept, lines, tests_of).unionByName(selection.safety_set(tests, tests_of, f.get("suite"), state, missing, gaps.complete))
+    order = selection.ranked(selection.selected(why))
     odd = selection.unmatched(kept.where("kind <> 'Macro'"), lines, tests_of).where("why = 'file not in index'").count()
     dropped = 0
     if budget is not None:
@@ -84,7 +89,9 @@ def select_tests(f: Facts, budget: int | None = None) -> Envelope:
     trust = selection.confidence(gaps, state, stale, dropped, odd)
     if f.get("name") is not None:
         order = order.join(f.need("name"), "test", "left")
-    out = Envelope("select-tests", order.orderBy("rank"), notes={"confidence": "Full" if trust.full else "Reduced"})
+    if reasons:
+        order = selection.with_reasons(order, why)
+    out = Envelope("select-tests", order.orderBy("rank", *(["reason", "why"] if reasons else [])), notes={"confidence": "Full" if trust.full else "Reduced"})
     out = out.downgrade(Fidelity.bounded, "tests are told by the lines that they executed")
     for reason in trust.reasons:
         out = out.downgrade(Fidelity.unknown, reason)
