@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Levels of a walk to the roots between two tables that are written.
+STRIDE = 4
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Where levels are written: spark.checkpoint.dir, or a temporary folder only where none is set and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -86,20 +90,22 @@ def ancestors(parents: DataFrame) -> DataFrame:
 
 
 def upward(wanted: DataFrame, parents: DataFrame) -> DataFrame:
-    """start, node, depth: each wanted (node) and all its ancestors over (node, parent), level by level; a cycle ends.
+    """start, node, depth: each wanted (node) and all its ancestors over (node, parent), STRIDE levels a round; a cycle ends.
 
     Only what lies above the wanted nodes is touched, whatever the size of the forest.
     """
-    level = written(wanted.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0)))
-    placed, depth = level, 0
-    up = parents.where("parent is not null").select(F.col("node"), F.col("parent").alias("above"))
+    placed = level = wanted.select(F.col("node").alias("start"), "node").distinct().withColumn("depth", F.lit(0))
+    depth, up = 0, parents.where("parent is not null").select(F.col("node"), F.col("parent").alias("above"))
     while True:
-        depth += 1
-        ahead = level.join(up, "node").select("start", F.col("above").alias("node")).distinct()
-        level = written(ahead.join(placed, ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = None
+        for _ in range(STRIDE):
+            depth += 1
+            level = level.join(up, "node").select("start", F.col("above").alias("node"), F.lit(depth).alias("depth"))
+            found = level if found is None else found.unionByName(level)
+        found = written(found.groupBy("start", "node").agg(F.min("depth").alias("depth")).join(placed, ["start", "node"], "left_anti"))
+        placed, level = placed.unionByName(found), found.where(F.col("depth") == depth)
         if level.isEmpty():
             return placed
-        placed = written(placed.unionByName(level)) if depth % 8 == 0 else placed.unionByName(level)
 
 
 def roots(parents: DataFrame) -> DataFrame:
