@@ -13,8 +13,8 @@ Sorting. Buckets are sorted a block of them at a time. In a block, the suffixes
 difference cover modulo 13) are ranked first, from right to left: by the bytes up to the next cover
 position, then by that one's rank. Every suffix is then sorted by its bytes up to the next cover position, at
 most 6, and that position's rank, one 64-bit key, so a tie of any length costs one comparison, and memory is
-bounded by the block. Runs of neighbours that agree in LENGTH bytes (by 64-bit hashes of these bytes) and number two or
-more are repeated.
+bounded by the block. Runs of neighbours that have LENGTH bytes in common and number two or more are repeated: neighbours of
+one key agree to their ends, others are compared byte by byte where their first bytes agree.
 
 A bucket with more than BUCKET different surroundings isn't gathered: its suffixes are counted as rows keyed by the
 hash of their first LENGTH bytes, aggregated before the shuffle. Nothing is dropped.
@@ -48,6 +48,8 @@ WIDTH = BEFORE + LENGTH
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Surroundings that are sorted as one block (up to a bucket more), and the most that a bucket may have.
 BLOCK, BUCKET = 8_192, 16_384
+#: Bytes of neighbours that are compared at once.
+STEP = 25
 #: Bytes of a document that are searched for anchors at once; below 2**POSITION_BITS.
 PIECE, POSITION_BITS = 1 << 25, 26
 U64 = np.uint64
@@ -152,13 +154,23 @@ def _string_hashes(cols: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield x, (total[x + LENGTH] - total[x]) * inverse[x]
 
 
+def _differ(cols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the columns a and b differ, by STEP rows at a time, as most that do differ early."""
+    out = np.zeros(len(a), dtype=bool)
+    left = np.arange(len(a))
+    for at in range(0, len(cols), STEP):
+        other = (cols[at : at + STEP, a[left]] != cols[at : at + STEP, b[left]]).any(axis=0)
+        out[left[other]] = True
+        left = left[~other]
+    return out
+
+
 def sort_block(lead: np.ndarray, texts: list[bytes], n: np.ndarray) -> np.ndarray:
     """Which strings of a block's surroundings are repeated: REACH x rows, by start."""
     cols, first, last = _matrix(lead, texts)
     rows = len(texts)
     assert rows < 1 << 16
     out = np.zeros((REACH, rows), dtype=bool)
-    strings = _string_hashes(cols)
     rank, cover = np.zeros(rows, dtype=np.uint64), WIDTH
     for x in range(WIDTH - 1, -1, -1):
         sample = x % PERIOD in COVER
@@ -170,11 +182,12 @@ def sort_block(lead: np.ndarray, texts: list[bytes], n: np.ndarray) -> np.ndarra
         key = (key << U64(16)) | rank
         order = np.argsort(key)
         if x <= BEFORE:
-            at, same = next(strings)
-            assert at == x
             whole = np.where((first <= x) & (x <= last), n, 0)[order]
-            same = same[order]
-            starts = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1])))
+            near = key[order]
+            differs = near[1:] != near[:-1]
+            unsure = np.flatnonzero(differs & (near[1:] >> U64(16) == near[:-1] >> U64(16)))
+            differs[unsure] = _differ(cols[x : x + LENGTH], order[unsure], order[unsure + 1])
+            starts = np.flatnonzero(np.concatenate(([True], differs)))
             total = np.add.reduceat(whole, starts)
             out[x, order] = (np.repeat(total, np.diff(np.append(starts, rows))) > 1) & (whole > 0)
         if sample:
@@ -259,16 +272,17 @@ def repeated_strings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """k, th, found: for documents with repeated strings, their anchors and the runs of starts around them."""
     plain = _plain(docs, key, text)
     every = stored(_anchored(plain))
-    twice = every.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h")
+    # Aggregates are written before they are joined, so that the join's other side, in which an anchor may be hot, can be split.
+    twice = stored(every.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h"))
     again = stored(every.join(twice, "h"))
-    dropped(every)
-    once = again.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "pos")).alias("at"))
-    sizes = once.groupBy("h").agg((F.count("*") > BUCKET).alias("hot"))
+    dropped(every, twice)
+    once = stored(again.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "pos")).alias("at")))
+    sizes = stored(once.groupBy("h").agg((F.count("*") > BUCKET).alias("hot")))
     want = once.join(sizes, "h").groupBy(F.col("at.k").alias("wk"), F.col("at.th").alias("wth")).agg(F.collect_list(F.struct(F.col("at.pos").alias("pos"), "h", "g", "n", "hot")).alias("want"))
     around = stored(_surroundings(plain.join(want, plain["k"].eqNullSafe(want["wk"]) & (plain["th"] == want["wth"])).select("t", "want")))
     runs = stored(_sorted_blocks(around.where("not hot")).unionByName(_counted(around.where("hot"))).dropDuplicates(["h", "g"]))
     found = stored(again.join(runs, ["h", "g"]).groupBy("k", "th").agg(F.collect_list(F.struct("pos", "runs")).alias("found")))
-    dropped(again, around, runs)
+    dropped(again, once, sizes, around, runs)
     return found
 
 
