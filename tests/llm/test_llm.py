@@ -329,6 +329,72 @@ def test_quality(spark):
     assert {r.score for r in quality.quality(docs_of(spark, ["a"]), lab.limit(0)).collect()} == {0.5}
 
 
+def brute_features(t):
+    """The statistics of one text on plain lists; words are of bytes."""
+    raw = (t or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    if not raw:
+        return [0.0] * len(quality.FEATURES)
+    count = lambda chars: sum(raw.count(bytes([c])) for c in set(chars))
+    n, size = max(len(words), 1), len(raw)
+    upper = sum(65 <= c <= 90 for c in raw)
+    lower = sum(97 <= c <= 122 or c >= 128 for c in raw)
+    folded = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    three = [tuple(folded[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [tuple(folded)] if words else []
+    again = lambda x: len(x) - len(set(x))
+    odd = set(b"#*$%&<>=~^_{}[]\\@!?")
+    return [
+        np.log1p(len(words)), np.log1p(sum(map(len, words)) / n), upper / max(upper + lower, 1), count(b"#*$%&<>=~^_{}[]\\@") / size, count(b"!?") / size, count(b"0123456789") / size, count(b"|") / size,
+        sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, again(words) / n, again(three) / max(len(three), 1), sum(w[-1] in odd for w in words) / n,
+        sum(len(w) > 2 and 65 <= w[0] <= 90 and 65 <= w[1] <= 90 for w in words) / n, np.log1p(len(words) / (raw.count(b"\n") + 1)),
+    ]
+
+
+def test_quality_features_equal_brute_force():
+    rng = random.Random(16)
+    texts = ["", *[t for t in odd_texts(rng) if t], "ABC Abc abc! x# 12|3 a a a\n\nÉé", *[prose(rng, rng.randint(1, 80)).title() for _ in range(20)]]
+    data = [t.encode() for t in texts]
+    got = quality.features(np.frombuffer(b"".join(data), np.uint8), np.concatenate(([0], np.cumsum([*map(len, data)]))))
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, brute_features(t)), t[:60]
+
+
+def test_preferences_are_learned_as_by_plain_descent():
+    """The weights minimise the logistic loss of the differences: its gradient, on the same pairs, is nil."""
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.6).astype(int)
+    x = rng.normal(size=(400, 3)) + y[:, None] * np.array([1.0, -0.5, 0.0])
+    w, cut = quality.fit(x, y, pairs=5_000)
+    draw = np.random.default_rng(7)
+    diff = (x[draw.choice(np.flatnonzero(y == 1), 5_000)] - x[draw.choice(np.flatnonzero(y != 1), 5_000)]) / x.std(axis=0)
+    v = w * x.std(axis=0)
+    assert np.allclose(diff.T @ (1 / (1 + np.exp(diff @ v))) / 5_000, 1e-2 * v, atol=1e-6)
+    assert w[0] > 0 > w[1] and np.mean((x @ w >= cut) == (y == 1)) > 0.7
+
+
+def test_toxic_weights_equal_brute_force():
+    rng = random.Random(17)
+    terms = {" vile": 3.0, " nasty": 2.5, " slur": 4.0}
+    lex = toxicity.Lexicon(terms, {" vile bin ": -3.0}, 0.1)
+    for _ in range(200):
+        t = " ".join(rng.choice(["vile", "VILEST", "n4sty", "sIur", "bin", "ok", "évile", "vile-bin", "x", "1", "…"]) for _ in range(rng.randint(0, 30)))
+        folded = toxicity.fold(t)
+        want = sum(w * len(re.findall(f"(?={re.escape(k)})", folded)) for k, w in {**lex.terms, **lex.exceptions}.items())
+        assert np.isclose(lex.weight(t), max(want, 0) / max(1, len(folded.split()))), t
+    assert lex.weight("a vile bin") == 0 and lex.weight("nasty " * 50_000) > 2.4
+
+
+def test_scores_of_repeated_rows_are_equal(spark):
+    rng = random.Random(18)
+    texts = [prose(rng, 40) for _ in range(30)]
+    docs = docs_of(spark, texts)
+    twice = docs.unionByName(docs)
+    lab = spark.createDataFrame([(k, k % 2, (k + 1) % 2) for k in range(30)], "doc_id long, quality int, toxic int")
+    for f in (lambda d: quality.quality(d, lab), lambda d: toxicity.toxicity(d, lab), lambda d: language_id.identify(d), lambda d: token_counts.count_tokens(d), lambda d: quality_rules.judged(d)):
+        rows = collections.Counter(map(tuple, f(twice).collect()))
+        assert len(rows) == 30 and set(rows.values()) == {2}
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -689,6 +755,21 @@ def test_pipeline_on_the_smallest_tables(spark):
                 assert r.text == bytes(np.frombuffer(raw[k], np.uint8)[~gone[k]]).decode("utf-8", "ignore") and r.n_chars == len(r.text)
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, name):
+    """Nulls in any column, empty and very long texts, repeats and clashing names; then no rows at all."""
+    d, stage = "/root/testdata/sf0.001", dict(corpus_pipeline.STAGES)[name]
+    rng = random.Random(19)
+    odd = [(k, t, rng.choice(["en", "de", None]), rng.choice(["s", None]), None if t is None else len(t)) for k, t in enumerate(odd_texts(rng) + [prose(rng, 60) for _ in range(20)])]
+    odd += [odd[-1], (None, odd[-1][1], "en", "s", 1), (None, None, None, None, None)]
+    docs = clashing(spark.createDataFrame(odd, DOC))
+    got = stage(spark, docs, d)
+    rows = got.collect()
+    assert got.columns[: len(docs.columns)] == docs.columns and len(rows) <= len(odd)
+    assert name == "mixing" or len(rows) > 15
+    assert stage(spark, docs.limit(0), d).collect() == []
+
+
 def test_word_hashes_depend_on_the_word_only():
     data = np.frombuffer(b"one two one  two\none", np.uint8)
     s, e, doc = _text.word_spans(data, np.array([0, 7, 20]))
