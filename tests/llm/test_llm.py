@@ -304,9 +304,9 @@ def test_toxicity(spark):
     assert toxicity.toxicity(empty(spark), lab).collect() == []
 
 
-def test_exception_phrases_cancel_their_terms():
+def test_exception_phrases_cancel_their_terms(spark):
     texts = [f"{prose(random.Random(k), 20)} trash {prose(random.Random(k + 99), 20)}" for k in range(40)] + [prose(random.Random(k + 500), 40) for k in range(40)]
-    lex = toxicity.learn(texts, [1] * 40 + [0] * 40, ("trash can",))
+    lex = toxicity.learn(spark.createDataFrame([(t, int(k < 40)) for k, t in enumerate(texts)], "t string, y int"), ("trash can",))
     assert lex.weight("so much trash here") > 0 and lex.weight("a trash can here") == 0
 
 
@@ -384,6 +384,46 @@ def test_toxic_weights_equal_brute_force():
     assert lex.weight("a vile bin") == 0 and lex.weight("nasty " * 50_000) > 2.4
 
 
+def test_lexicon_equals_brute_force(spark, monkeypatch):
+    """Terms, neighbours, phrases and threshold against counts in plain Python; with tasks that pass counts on early, too."""
+    rng = random.Random(27)
+    stems = ["vileword", "vilewagon", "nast", "slurrish", "scumbagger"]
+    rows = []
+    for k in range(160):
+        w = prose(rng, 40).split()
+        for _ in range(4):
+            w.insert(rng.randrange(len(w)), rng.choice(stems) + rng.choice(["", "a", "o"]) if k % 2 else rng.choice(["vilemoss", "kind nastier", "ok"]))
+        rows.append((" ".join(w), k % 2))
+    rows += [("copied " + "onceonlyword " * 9, 1)] * 6 + [(None, 1), ("", 0), ("x" * 3_000 + " slurrish", 0)]
+    words = [(toxicity.fold(t).split(), y) for t, y in rows]
+    n = collections.Counter(y for _, y in words)
+    df, prev, pairs = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for ws, y in words:
+        df.update({(w[:k], y) for w in ws for k in range(4, 9) if len(w) >= k})
+        for a, w in zip(["", *ws], ws, strict=False):
+            for k in range(4, 9):
+                if y and len(w) >= k:
+                    prev[w[:k]].add(a)
+        pairs.update({(x, y) for x in zip(ws, ws[1:], strict=False)} | {((w,), y) for w in ws[:1] + ws[-1:]})
+    odds = {x: np.log((a + 0.5) / (n[1] + 1)) - np.log((df[x, 0] + 0.5) / (n[0] + 1)) for (x, y), a in df.items() if y and a >= 4}
+    odds = {x: w for x, w in odds.items() if w >= 3 and len(prev[x]) >= max(4, min(df[x, 1], 40) / 2)}
+    counts = lambda x: (df[x, 1], df[x, 0])
+    odds = {x: w for x, w in odds.items() if not any(y[:-1] == x and counts(y) == counts(x) for y in odds)}
+    longest = lambda w: max(((len(x), o) for x, o in odds.items() if w.startswith(x)), default=(0, 0.0))[1]
+    clean = {p for (p, y), c in pairs.items() if not y and c >= 4 and len(p) == 2 and pairs[p, 1] * n[0] < c * n[1] / 4 and any(map(longest, p))}
+    for entries in (200_000, 10):
+        monkeypatch.setattr(toxicity, "ENTRIES", entries)
+        lex = toxicity.learn(spark.createDataFrame(rows, "t string, y int").repartition(3))
+        assert {x[1:] for x in lex.terms} == odds.keys() and len(odds) > 5 and "onceonly" not in odds
+        for x in [*odds, *stems, "vilemoss"]:
+            assert np.isclose(sum(lex.terms.get(f" {x[:k]}", 0.0) for k in range(4, 9) if len(x) >= k), longest(x))
+        assert clean <= {tuple(p.split()) for p in lex.exceptions}
+        x = np.array([lex.weight(t) for t, _ in rows])
+        y = np.array([y == 1 for _, y in rows])
+        rate = lambda c: (x[y] >= c).mean() + (x[~y] < c).mean()
+        assert np.isclose(rate(lex.threshold), max(rate(c) for c in [*(x + 1e-9), *(x - 1e-9)]))
+
+
 def test_scores_of_repeated_rows_are_equal(spark):
     rng = random.Random(18)
     texts = [prose(rng, 40) for _ in range(30)]
