@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.envelope import Envelope, Fidelity
-from tracewell.functions import bits, facts, paths
-from tracewell.operators import builds, findings, fixpoint, graphs, impact, intervals, layout, recipes, selection, sites, sweep
-from tracewell.sources import compdb, csource, files
+from tracewell.functions import bits, domains, facts, literals, paths
+from tracewell.operators import builds, constraints, findings, fixpoint, graphs, impact, intervals, layout, recipes, selection, sites, sweep
+from tracewell.sources import compdb, csource, files, persona
 from tracewell.streaming import ingest
 
 
@@ -406,3 +406,93 @@ def test_cycles_and_dominators_of_small_graphs(spark):
     assert {(r.node, r.dominator) for r in graphs.dominators(f, entry).where("immediate").collect()} == {(1, 0), (2, 1), (3, 1), (4, 1)}
     blocks = spark.createDataFrame([("f", k) for k in (0, 1, 2, 3, 4, 8)], "func string, node int")
     assert [r.node for r in graphs.unreachable(blocks, f, entry).collect()] == [8]
+
+
+# Constraints, domains, literals, personas --------------------------------------------------------------------------
+
+
+def test_constraints_split_by_shared_variables(spark):
+    m = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "b"), ("q", "c"), ("r", "x"), ("r", "x"), ("s", None), ("t", "y"), ("t", "x")], "constraint string, var string")
+    asked = spark.createDataFrame([("c",), ("c",), ("unknown",), (None,)], "var string")
+    assert rows(constraints.split(m, asked)) == rows(spark.createDataFrame([("p", "a", True), ("q", "a", True), ("r", "x", False), ("s", None, False), ("t", "x", False)], "constraint string, component string, relevant boolean"))
+    assert rows(constraints.split(m.limit(0), asked)) == []
+
+
+def test_contained_sets_equal_brute_force(spark):
+    rng = random.Random(5)
+    a = {k: {rng.randrange(12) for _ in range(rng.randint(0, 4))} for k in range(60)}
+    b = {k: {rng.randrange(12) for _ in range(rng.randint(0, 9))} for k in range(60)}
+    df = lambda s: spark.createDataFrame([(k, x) for k, v in s.items() for x in v] * 2 + [(0, None)], "set int, item int")
+    assert rows(constraints.contained(df(a), df(b))) == sorted(((i, j) for i in a for j in b if a[i] and a[i] <= b[j]), key=repr)
+
+
+def test_domains_keep_every_value_that_can_occur(spark):
+    w, rng = 4, random.Random(3)
+    picks = [tuple(sorted(rng.sample(range(16), rng.randint(1, 5)))) for _ in range(60)]
+    pairs = [(list(x), list(y)) for x in picks for y in rng.sample(picks, 6)]
+
+    def domain(c):
+        out = None
+        for k in range(5):
+            one = domains.constant(F.col(c)[F.least(F.lit(k), F.size(c) - 1)], w)
+            out = one if out is None else domains.join(out, one, w)
+        return domains.reduced(out, w)
+
+    df = spark.createDataFrame(pairs, "x array<long>, y array<long>").select("*", domain("x").alias("dx"), domain("y").alias("dy"))
+    ops = {"Add": lambda a, b: a + b, "Sub": lambda a, b: a - b, "And": lambda a, b: a & b, "Or": lambda a, b: a | b, "Xor": lambda a, b: a ^ b}
+    got = df.select("x", "y", *(domains.reduced(f(F.col("dx"), F.col("dy"), w), w).alias(n) for n, f in domains.BINARY.items()), domains.meet(F.col("dx"), F.col("dy"), w).alias("meet"), domains.empty(domains.meet(F.col("dx"), F.col("dy"), w)).alias("none"), domains.complement(F.col("dx"), w).alias("Not")).collect()
+    inside = lambda v, d: d.lo <= v <= d.hi and not v & d.zeros and not ~v & d.ones
+    for r in got:
+        for n, f in ops.items():
+            assert all(inside(f(a, b) % 16, r[n]) for a in r.x for b in r.y), (n, r)
+        assert all(inside(v, r.meet) for v in set(r.x) & set(r.y)) and not (r.none and set(r.x) & set(r.y))
+        assert all(inside(15 - a, r.Not) for a in r.x)
+    narrow = spark.range(1).select(domains.BINARY["And"](domains.top(8), domains.constant(F.lit(12), 8), 8).alias("d"), domains.between(F.lit(8), F.lit(11), 8).alias("e"), domains.admits(domains.top(8), F.lit(200), 8).alias("f")).first()
+    assert (narrow.d.hi, narrow.d.zeros, narrow.e.ones, narrow.e.zeros, narrow.f) == (12, 0xF3, 8, 0xF4, True)
+
+
+@pytest.mark.parametrize(
+    "literal, want",
+    [
+        ('"ab"', (1, [97, 98], False, None)),
+        ('""', (1, [], False, None)),
+        (r'"\n\x41\101\0"', (1, [10, 65, 65, 0], False, None)),
+        (r'"\1234"', (1, [83, 52], False, None)),
+        (r'"\x1ff"', (1, [255], True, None)),
+        (r'u"\x1ff"', (2, [511], False, None)),
+        ('"é"', (1, [0xC3, 0xA9], False, None)),
+        ('u"😀"', (2, [0xD83D, 0xDE00], False, None)),
+        (r'U"\U0001F600"', (4, [0x1F600], False, None)),
+        (r'u8"\u00e9"', (1, [0xC3, 0xA9], False, None)),
+        (r'L"\uD800"', (4, [], False, "code point")),
+        (r'"\q"', (1, [], False, "escape")),
+        (r'"\xg"', (1, [], False, "escape")),
+        ('"a', (0, [], False, "unterminated")),
+        ('"a"b"', (1, [], False, "unterminated")),
+        (r"'\''", (1, [39], False, None)),
+    ],
+)
+def test_literals(literal, want):
+    assert literals.decoded(literal) == want
+
+
+def test_literal_units_of_a_column(spark):
+    df = spark.createDataFrame([('"a"',), (None,), ('""',)], "s string").select(literals.literal_units("s").alias("u"))
+    assert [(r.u.units, r.u.error) for r in df.collect()] == [([97], None), ([], "null"), ([], None)]
+
+
+def test_personas(spark, tmp_path):
+    one, two = "#define A 1\n#define F(x, y) x y\n#define E\n#define V(...) f(__VA_ARGS__)\nnoise\n", "#define A 2\n#define E\n#  define F(x,y)   x y  \n"
+    (tmp_path / "a").write_text(one)
+    (tmp_path / "b").write_text(two)
+    got = persona.scan(spark, str(tmp_path))
+    at = {r.path.rsplit("/", 1)[1]: r.path for r in got.select("path").distinct().collect()}
+    assert sorted((r.name, r.params, r.body) for r in got.where(F.col("path") == at["a"]).collect()) == [("A", None, "1"), ("E", None, ""), ("F", ["x", "y"], "x y"), ("V", ["..."], "f(__VA_ARGS__)")]
+    assert sorted((r.name, r.ours and r.ours.body, r.theirs and r.theirs.body) for r in persona.differing(got, at["a"], at["b"]).collect()) == [("A", "1", "2"), ("V", "f(__VA_ARGS__)", None)]
+    unit, found = csource.analyzed("t.c", {"t.c": "#if A == 1\nint F(a, b);\n#endif\nint c = A;\n"}, persona=one)
+    assert unit.clean and [e.name for e in found][-1:] == ["c"] and not unit.macros
+
+
+def test_states_complete_in_order_of_their_ids(spark):
+    s = spark.createDataFrame([(3, "x"), (1, "y"), (2, "z")], "state int, outcome string")
+    assert [r.state for r in findings.completion(s).collect()] == [1, 2, 3]

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.envelope import determinism_key
-from tracewell.functions import bits
+from tracewell.functions import bits, domains, literals
 from tracewell.functions.facts import saturating_sum
 from tracewell.functions.paths import basename, glob_match, normalized
-from tracewell.operators import builds, coverage, findings, fixpoint, graphs, impact, intervals, layout, recipes, selection, sites, sweep
+from tracewell.operators import builds, constraints, coverage, findings, fixpoint, graphs, impact, intervals, layout, recipes, selection, sites, sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -950,3 +950,58 @@ CAST(CASE WHEN u <> 0 THEN 32 - length(bin(u)) END AS INTEGER) AS clz, CAST(CASE
 def _(spark, d):
     a, y = bits.truncated(F.col("x"), 32), F.col("y")
     return _words(spark, d).select("o_orderkey", bits.overflows("Add", a, y, 32).alias("add_over"), bits.overflows("Sub", a, y, 32).alias("sub_over"), bits.overflows("Mul", a, a, 32).alias("mul_over"), bits.leading_zeros(a, 32).alias("clz"), bits.trailing_zeros(a, 32).alias("ctz"), bits.popcount(a, 32).alias("popcount"), bits.byte_swapped(a, 32).alias("bswap"))
+
+
+# Constraints -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "constraint_split",
+    """WITH linked AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_orderpriority = '1-URGENT'),
+known AS (SELECT o_custkey AS v FROM orders UNION SELECT v + 1 FROM linked),
+run AS (SELECT v, sum(CASE WHEN (v - 1) IN (SELECT v FROM linked) THEN 0 ELSE 1 END) OVER (ORDER BY v) AS r FROM known),
+comp AS (SELECT v, min(v) OVER (PARTITION BY r) AS component FROM run),
+wanted AS (SELECT DISTINCT component FROM comp JOIN customer ON c_custkey = v WHERE c_acctbal < -900)
+SELECT o_orderkey AS "constraint", component, component IN (SELECT component FROM wanted) AS relevant FROM orders JOIN comp ON v = o_custkey""",
+)
+def _(spark, d):
+    vars_ = F.when(F.col("o_orderpriority") == "1-URGENT", F.array("o_custkey", F.col("o_custkey") + 1)).otherwise(F.array("o_custkey"))
+    mentions = table(spark, d, "orders").select(F.col("o_orderkey").alias("constraint"), F.explode(vars_).alias("var"))
+    return constraints.split(mentions, table(spark, d, "customer").where("c_acctbal < -900").select(F.col("c_custkey").alias("var")))
+
+
+@query(
+    "constraint_cache",
+    """WITH small AS (SELECT DISTINCT l_orderkey AS s, l_partkey AS item FROM lineitem), n AS (SELECT s, count(*) AS n FROM small GROUP BY s),
+big AS (SELECT DISTINCT o_custkey AS b, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+hit AS (SELECT s, b, count(*) AS k FROM small JOIN big USING (item) GROUP BY s, b)
+SELECT s AS "inner", b AS "outer" FROM hit JOIN n USING (s) WHERE k = n""",
+)
+def _(spark, d):
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("set"), F.col("l_partkey").alias("item"))
+    held = table(spark, d, "orders").select(F.col("o_orderkey").alias("set"), "o_custkey").join(lines, "set").select(F.col("o_custkey").alias("set"), "item")
+    return constraints.contained(lines, held)
+
+
+@query("run_completion", "SELECT o_orderkey AS state, o_orderstatus AS outcome FROM orders ORDER BY 1")
+def _(spark, d):
+    return findings.completion(table(spark, d, "orders").select(F.col("o_orderkey").alias("state"), F.col("o_orderstatus").alias("outcome")))
+
+
+@query("string_units", r"""SELECT p_partkey, CAST(octet_length(encode(p_name)) + 2 AS BIGINT) AS n_units, CAST(10 AS BIGINT) AS last FROM part""")
+def _(spark, d):
+    whole = F.concat(F.lit('"'), F.col("p_name"), F.lit('\\x41\\n"'))
+    parts = table(spark, d, "part").select("p_partkey", literals.literal_units(whole).alias("u"))
+    return parts.select("p_partkey", F.size("u.units").cast("long").alias("n_units"), F.element_at("u.units", -1).alias("last"))
+
+
+@query(
+    "value_domains",
+    """WITH d AS (SELECT l_orderkey, min(l_partkey) % 65536 AS a, max(l_partkey) % 65536 AS b, min(l_suppkey) % 65536 AS c, max(l_suppkey) % 65536 AS e FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, least(a, b) + least(c, e) AS lo, greatest(a, b) + greatest(c, e) AS hi, greatest(least(a, b), least(c, e)) > least(greatest(a, b), greatest(c, e)) AS apart FROM d""",
+)
+def _(spark, d):
+    each = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b"), F.min("l_suppkey").alias("c"), F.max("l_suppkey").alias("e"))
+    x, y = (domains.between(F.least(F.col(p) % 65536, F.col(q) % 65536), F.greatest(F.col(p) % 65536, F.col(q) % 65536), 32) for p, q in (("a", "b"), ("c", "e")))
+    both = domains.BINARY["Add"](x, y, 32)
+    return each.select("l_orderkey", both["lo"].alias("lo"), both["hi"].alias("hi"), domains.empty(domains.meet(x, y, 32)).alias("apart"))

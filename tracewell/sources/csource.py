@@ -85,11 +85,15 @@ def lex(text: str, file: str = "") -> list[list[Token]]:
 
 
 class Preprocessor:
-    def __init__(self, files: Mapping[str, str], predefined: Mapping[str, str] | None = None):
+    def __init__(self, files: Mapping[str, str], predefined: Mapping[str, str] | None = None, persona: str = ""):
         self.files, self.unit, self.macros = files, Unit(), {}
         self.counter, self.depth = 0, 0
         for name, value in (predefined or {}).items():
             self.macros[name] = Macro(name, None, False, [t for x in lex(value, "<command>") for t in x], "<command>", 0)
+        for line in lex(persona, "<persona>"):  # a compiler's dump of its definitions
+            if len(line) > 2 and line[0].text == "#" and line[1].text == "define":
+                self._define(line[2:], "<persona>")
+        self.unit.macros.clear()
 
     def run(self, file: str) -> Unit:
         self._file(file)
@@ -415,9 +419,9 @@ def _entity(part: list[Token], file: str) -> Entity | None:
     return name and Entity("Global", where, name, texts[:cut], texts[cut:], [x for x in idents if x != name], [], [], [])
 
 
-def analyzed(file: str, files: Mapping[str, str], predefined: Mapping[str, str] | None = None) -> tuple[Unit, list[Entity]]:
+def analyzed(file: str, files: Mapping[str, str], predefined: Mapping[str, str] | None = None, persona: str = "") -> tuple[Unit, list[Entity]]:
     try:
-        unit = Preprocessor(files, predefined).run(file)
+        unit = Preprocessor(files, predefined, persona).run(file)
     except (SourceFault, RecursionError):
         return Unit(clean=False), []
     return unit, entities(unit, file)
