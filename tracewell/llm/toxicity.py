@@ -5,7 +5,7 @@ other scripts and digits or signs used as letters become the letter they stand f
 form, invisible characters vanish, everything else is a blank. Lexicon and text are folded alike.
 
 The lexicon is learned from labelled documents: word beginnings of several lengths that toxic documents have far
-more often than clean ones, with their log odds as weights; the longest in a word counts, and a beginning found in the same
+more often than clean ones, with their log odds less a standard error as weights; the longest in a word counts, and a beginning found in the same
 documents as a longer one is left to that. A term must follow many different words, so that copies of one toxic document don't put all of its words on the list. Exception phrases (given
 ones, and neighbours learned from clean documents) cancel the terms they hold. Counting is done in tasks and added up. The sum of weights is divided by the
 number of words and mapped to 0..1 so that the learned threshold is 0.5.
@@ -35,8 +35,8 @@ from tracewell.llm.language_id import held_out
 TRAIN_DOCS = 4_000
 #: Fewest and most letters of a term.
 SHORTEST, LONGEST = 4, 8
-#: A term is in at least so many toxic documents, after so many different words, with such log odds.
-MIN_DOCS, MIN_NEIGHBOURS, MIN_ODDS = 4, 4, 3.0
+#: A term is in at least so many toxic documents, after so many different words, with such log odds less one standard error.
+MIN_DOCS, MIN_NEIGHBOURS, MIN_ODDS = 4, 4, 2.5
 #: Size of the model: terms (the strongest) and learned phrases (the most frequent), letters of a phrase.
 TERMS, PHRASE = 20_000, 64
 #: Counts that a task holds before it passes them on.
@@ -158,6 +158,7 @@ def learn(rows: DataFrame, exceptions: tuple[str, ...] = ()) -> Lexicon:
     by = lambda kind: F.sum(F.when(F.col("toxic") == kind, F.col("n")).otherwise(0))
     docs = _counted(rows, lambda t, bad: {("term", x, bad) for w in fold(t).split() for x in beginnings(w)}).groupBy("x").agg(by(True).alias("a"), by(False).alias("b"))
     odds = F.log((F.col("a") + 0.5) / (n[True] + 1)) - F.log((F.col("b") + 0.5) / (n[False] + 1))
+    odds -= F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))  # rare beginnings prove little
     some = docs.where(F.col("a") >= MIN_DOCS).select("x", "a", "b", odds.alias("w")).where(F.col("w") >= MIN_ODDS).orderBy(F.desc("w"), F.desc("a"), "x").limit(TERMS).collect()
     known = {r.x for r in some}
 
