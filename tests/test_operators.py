@@ -114,6 +114,42 @@ def test_indirect_calls_need_a_fitting_arity(spark):
     assert again["h1"][0] == 1 and again["h1"][3] == ["IndirectCall"] and again["far"][0] == 2
 
 
+def test_indirect_calls_are_settled_by_arity_not_by_pair(spark):
+    """Brute force over odd rows; and every join gives as many rows as there are sites at most, whatever fits."""
+    some = [("Function", f"f{k % 3}.c", f"n{k % 37:02d}", k % 4) for k in range(60)] + [("Macro", "f.c", "n38", 0), ("Function", "f.c", None, 0)]
+    arities = [(f"n{k % 40:02d}", k % 5 if k % 11 else None, k % 7 == 0) for k in range(80)]
+    names = [f"n{k:02d}" for k in range(40) if k % 9] * 2
+    holders = [("Function", f"g{k % 2}.c", f"h{k % 50}", k % 8 if k % 13 else None) for k in range(200)]
+    changed = spark.createDataFrame(some, "kind string, file string, name string, distance int")
+    arity = spark.createDataFrame(arities, "name string, params int, variadic boolean")
+    sites = spark.createDataFrame(holders, "kind string, file string, name string, args int")
+    found = impact.indirect_holders(changed, sites, arity, spark.createDataFrame([(x,) for x in names], "name string"))
+    want = {}
+    for kind, file, name, args in holders:
+        fits = [(d, n) for k, _, n, d in some if k == "Function" and n in names for a, params, more in arities if a == n and None not in (args, params) and (args == params and not more or more and args >= params)]
+        if fits:
+            want[kind, file, name] = min([*fits, *([want[kind, file, name]] if (kind, file, name) in want else [])])
+    assert {(r.kind, r.file, r.name): (r.distance - 1, r.callee) for r in found.collect()} == want
+    many = spark.range(3000).select(F.lit("Function").alias("kind"), F.lit("f.c").alias("file"), F.format_string("m%04d", "id").alias("name"))
+    wide = spark.range(500).select(F.lit("Function").alias("kind"), F.lit("g.c").alias("file"), F.col("id").alias("name"), (F.col("id") % 3).cast("int").alias("args"))
+    found = impact.indirect_holders(many, wide, many.select("name", F.lit(1).alias("params"), (F.length("name") > 9).alias("variadic")), many.select("name"))
+    assert {(r.name % 3, r.callee) for r in found.collect()} == {(1, "m0000")}
+    plan, todo, made = found._jdf.queryExecution().executedPlan(), [], []
+    todo.append(plan)
+    while todo:
+        x = todo.pop()
+        kind = x.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(x.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(x.plan())
+        else:
+            if "Join" in kind and x.metrics().contains("numOutputRows"):
+                made.append(x.metrics().apply("numOutputRows").value())
+            todo += [x.children().apply(k) for k in range(x.children().size())]
+    assert made and max(made) <= 3000
+
+
 def test_conditions_by_position_of_their_unit(spark):
     old = spark.createDataFrame([("a", 0, "if", ["A"]), ("a", 1, "if", ["B"]), ("b", 0, "if", ["B"])], "tu string, ord int, directive string, tokens array<string>")
     assert impact.changed_conditions(old, old).count() == 0

@@ -81,13 +81,16 @@ def indirect_holders(changed: DataFrame, sites: DataFrame, arity: DataFrame, tak
     changed: entities; sites: (kind, file, name, args); arity: (name, params, variadic); taken: (name). A call of n
     arguments fits n parameters, or a variadic function of at most n.
     """
-    could = changed.where("kind = 'Function'").join(taken, "name", "left_semi").join(arity, "name").select(F.col("name").alias("callee"), "params", "variadic", F.col("distance").alias("via") if "distance" in changed.columns else F.lit(0).alias("via"))
+    via = F.min("distance" if "distance" in changed.columns else F.lit(0)).alias("via")
+    could = changed.where("kind = 'Function'").join(taken, "name", "left_semi").groupBy("name").agg(via).join(arity.select("name", "params", "variadic"), "name")
+    # Only the first callee of an arity can be a holder's, so each side is one row for each number before the two meet.
+    first = could.groupBy("variadic", "params").agg(F.min(F.struct("via", F.col("name").alias("callee"))).alias("m"))
     # Equal arities are an equi-join; variadics are matched from each number of parameters up, by the distinct numbers of arguments.
     numbers = sites.select("args").distinct()
-    fixed = could.where("not variadic").withColumn("args", F.col("params"))
-    loose = could.where("variadic").join(numbers, F.col("args") >= F.col("params"))
-    fits = fixed.select("callee", "via", "args").unionByName(loose.select("callee", "via", "args"))
-    return sites.join(fits, "args").groupBy(*KEY).agg(F.min(F.struct("via", "callee")).alias("m")).select(*KEY, F.col("m.callee").alias("callee"), (F.col("m.via") + 1).alias("distance"))
+    fixed = first.where("not variadic").select(F.col("params").alias("args"), "m")
+    loose = first.where("variadic").join(numbers, F.col("args") >= F.col("params")).select("args", "m")
+    fits = fixed.unionByName(loose).groupBy("args").agg(F.min("m").alias("m"))
+    return sites.join(fits, "args").groupBy(*KEY).agg(F.min("m").alias("m")).select(*KEY, F.col("m.callee").alias("callee"), (F.col("m.via") + 1).alias("distance"))
 
 
 @dataclass(frozen=True)
