@@ -372,6 +372,34 @@ def test_preferences_are_learned_as_by_plain_descent():
     assert w[0] > 0 > w[1] and np.mean((x @ w >= cut) == (y == 1)) > 0.7
 
 
+def test_preferences_of_all_pairs_equal_brute_force(spark):
+    """The gradient over every pair of labelled rows, with no row left out, is nil; the threshold is as good as any."""
+    rng = np.random.default_rng(6)
+    y = rng.random(900) < 0.4
+    x = rng.normal(size=(900, len(quality.FEATURES))) * 3 + y[:, None] * rng.normal(size=len(quality.FEATURES))
+    x[::100] *= 30  # a few far out
+    rows = spark.createDataFrame([(bool(a), *map(float, b)) for a, b in zip(y, x, strict=True)], "good boolean, " + ", ".join(f"{f} double" for f in quality.FEATURES))
+    w, cut = quality.learned(rows)
+    again = quality.learned(rows.repartition(5))
+    assert np.allclose(w, again[0], rtol=1e-6) and np.isclose(cut, again[1], rtol=1e-6)
+    scale = x.std(axis=0)
+    diff = ((x[y][:, None] - x[~y][None]) / scale).reshape(-1, x.shape[1])
+    v = w * scale
+    assert np.allclose(diff.T @ (1 / (1 + np.exp(diff @ v))) / len(diff), 1e-2 * v, atol=1e-4)
+    own = x @ w
+    wrong = lambda c: np.mean(own[y] < c) + np.mean(own[~y] >= c)
+    assert wrong(cut) < min(map(wrong, own)) + 3e-3
+
+
+def test_every_label_counts_for_quality(spark, monkeypatch):
+    """More labels than any bound on the rows learned from: all of them reach the fit."""
+    seen, fitted = [], quality.learned
+    monkeypatch.setattr(quality, "learned", lambda rows: seen.append(rows.groupBy("good").count().collect()) or fitted(rows))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words "), F.col("id")).alias("text"))
+    quality.quality(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    assert sorted(tuple(r) for r in seen[0]) == [(False, 15_000), (True, 15_000)]
+
+
 def test_toxic_weights_equal_brute_force():
     rng = random.Random(17)
     terms = {" vile": 3.0, " nasty": 2.5, " slur": 4.0}

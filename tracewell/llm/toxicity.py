@@ -202,10 +202,15 @@ def threshold(x: np.ndarray, toxic: np.ndarray) -> float:
     return float(max(edges[int(np.argmin(wrong))], 1e-6))
 
 
+def known(labels: DataFrame, key: str, label: str, learn_from: F.Column) -> DataFrame:
+    """key and y of all the labels that learn_from admits, one row a key."""
+    return labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, learn_from: F.Column, per_kind: int) -> DataFrame:
     """Texts and labels of about per_kind rows of each label; only the few chosen keys are broadcast."""
-    known = labels.where(learn_from & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("y"))
-    some = bounded(known.where("y = 1"), key, per_kind).unionByName(bounded(known.where("y <> 1"), key, per_kind))
+    told = known(labels, key, label, learn_from)
+    some = bounded(told.where("y = 1"), key, per_kind).unionByName(bounded(told.where("y <> 1"), key, per_kind))
     return docs.select(key, text).join(F.broadcast(some), key).select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), "y")
 
 
