@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -776,6 +777,18 @@ def test_topics_are_found(spark):
         assert not {rows[d] for d in range(90) if d % 3 == k} & {rows[d] for d in range(90) if d % 3 != k}
 
 
+def test_topics_are_learned_from_all_documents(spark):
+    """The weights of words count every document, and counts over a byte keep their value and order."""
+    counts = np.zeros((4, mixing.BUCKETS), dtype=np.int64)
+    counts[:, -1], counts[:, 0] = [254, 255, 70_000, 3], [1, 300, 2, 9]
+    v = mixing.packed(counts)
+    assert (mixing.unpacked(pa.array(v, pa.binary())) == counts).all() and sorted(v) == [v[k] for k in (3, 0, 1, 2)]
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha"), F.when(F.col("id") % 3 == 0, " beta").otherwise(" gamma delta")).alias("text"))
+    hashed = mixing.word_vectors(np.frombuffer(b"beta", np.uint8), np.array([0, 4]))[0].argmax()
+    topics = mixing.learned_topics(docs, "doc_id", "text")
+    assert np.isclose(topics.weight[hashed], np.log(9_001 / 3_001) + 0.1) and len(topics.centres) == 2
+
+
 def test_many_cells_are_raked_as_few_are(spark, monkeypatch):
     """Sparse cells, which converge slowly: both paths do the same rounds."""
     rng = random.Random(11)

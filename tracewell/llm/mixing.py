@@ -6,9 +6,10 @@ cell's multiplier times one scale, at most 1, with the scale chosen so that the
 budget. A document is sampled if a hash of its key and text is below its probability, so a run can be repeated.
 
 Tokens are those of a public tokenizer, counted as in token_counts, unless a column has them. Topics are clusters of hashed
-words (spherical k-means, fitted on a bounded sample), unless a column has them. Without given targets, each
-marginal's target is its token share to the power `temper`, normalised. Texts are read once: what is measured is written
-to the shared folder, and all that follows reads that.
+words (spherical k-means, fitted on all documents), unless a column has them. Without given targets, each
+marginal's target is its token share to the power `temper`, normalised. Texts are read once: what is measured, counts of hashed words
+included, is written to the shared folder, and all that follows reads that. Each round of k-means is one pass over these counts,
+whose sums are added up in Spark; it ends when no centre moves by more than STILL, or after TOPIC_ROUNDS.
 
 A cell whose probability would be over 1 keeps all it has and can't give more, so its margins may fall short of their
 targets: `marginals` reports target, raked and expected share of each value.
@@ -25,21 +26,24 @@ read whole; an empty table gives no rows; extra columns pass through, but for th
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import _text, token_counts
-from tracewell.llm._spark import bounded, dropped, stored, table
+from tracewell.llm._spark import dropped, stored, table
 
 CELLS = 100_000
 ROUNDS, CLOSE = 100, 1e-9
 MARGINS = ("source", "lang", "topic")
-#: Topics, hashed words that tell them, documents that they are learned from (chosen by a hash of the key), and rounds at most.
-TOPICS, BUCKETS, TOPIC_DOCS, TOPIC_ROUNDS = 8, 512, 4_000, 25
+#: Topics, hashed words that tell them, rounds at most, and the move of a centre that ends them.
+TOPICS, BUCKETS, TOPIC_ROUNDS, STILL = 8, 512, 25, 1e-3
+#: Rows of counts that are held as numbers at once.
+ROWS = 512
 
 
 def word_vectors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -50,50 +54,133 @@ def word_vectors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.bincount(doc * BUCKETS + bucket, minlength=(len(offs) - 1) * BUCKETS).reshape(-1, BUCKETS)
 
 
+def packed(counts: np.ndarray) -> list[bytes]:
+    """A row of counts as bytes, last bucket first: a byte each, or 255 and four bytes from there on; bytes sort as the counts do."""
+    counts = counts[:, ::-1]
+    small = np.minimum(counts, 255).astype(np.uint8)
+    if (small < 255).all():
+        return [x.tobytes() for x in small]
+    return [b"".join(bytes([n]) if n < 255 else b"\xff" + int(n).to_bytes(4, "big") for n in x.tolist()) if (y == 255).any() else y.tobytes() for x, y in zip(counts, small, strict=True)]
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    """The rows of counts of a column made by `packed`."""
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    plain = sizes == BUCKETS
+    out = np.zeros((len(column), BUCKETS), dtype=np.int64 if not plain.all() else np.uint8)
+    if plain.any():
+        out[plain] = np.frombuffer(b"".join(column.filter(pa.array(plain)).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
+    for row in np.flatnonzero(~plain):
+        x, at = column[int(row)].as_py(), 0
+        for k in range(BUCKETS):
+            wide = x[at] == 255
+            out[row, k] = int.from_bytes(x[at + 1 : at + 5], "big") if wide else x[at]
+            at += 5 if wide else 1
+    return out[:, ::-1]
+
+
+_LOGS = np.log1p(np.arange(256))
+
+
 class Topics:
     """Unit vectors of the topics, and the weight of each hashed word."""
 
-    def __init__(self, counts: np.ndarray, topics: int = TOPICS):
-        """Fits on a row of word counts for each document; the order of rows doesn't matter."""
-        counts = counts[np.lexsort(counts.T)] if len(counts) else counts
-        self.weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.1
-        x = self._unit(counts)
-        self.centres = x[:1]
-        while 0 < len(self.centres) < min(topics, len(x)):  # the document farthest from all centres is the next
-            near = (x @ self.centres.T).max(axis=1)
-            if near.min() > 1 - 1e-9:
-                break
-            self.centres = np.vstack([self.centres, x[near.argmin()]])
-        last = None
-        for _ in range(TOPIC_ROUNDS if len(x) else 0):
-            own = (x @ self.centres.T).argmax(axis=1)
-            if last is not None and (own == last).all():
-                break
-            last = own
-            sums = np.array([x[own == k].sum(axis=0) if (own == k).any() else c for k, c in enumerate(self.centres)])
-            self.centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
-
-    def _unit(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.weight
+    def __init__(self, weight: np.ndarray, centres: np.ndarray):
+        self.weight, self.centres = weight, centres
+
+    def unit(self, counts: np.ndarray) -> np.ndarray:
+        x = (_LOGS[counts] if counts.dtype == np.uint8 else np.log1p(counts)) * self.weight
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
     def of(self, counts: np.ndarray) -> list[str | None]:
         """The topic of each row, None without words."""
         if not len(self.centres):
             return [None] * len(counts)
-        best = (self._unit(counts) @ self.centres.T).argmax(axis=1)
+        best = (self.unit(counts) @ self.centres.T).argmax(axis=1)
         return [f"topic{k}" if some else None for k, some in zip(best, counts.any(axis=1), strict=True)]
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Packed and unpacked counts, ROWS at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            part = b.column(0).slice(at, ROWS)
+            yield part, unpacked(part)
+
+
+def _summed(words: DataFrame, shape: tuple[int, int], add: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """add() of all blocks of counts, summed in the tasks and then by place in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for _, counts in _blocks(batches):
+            total += add(counts)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
+
+    found = words.mapInArrow(run, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(shape)
+    out.ravel()[found["at"].to_numpy(dtype=np.int64)] = found["n"]
+    return out
+
+
+def topics_of(words: DataFrame, topics: int = TOPICS) -> Topics:
+    """Fits on the packed counts of a column of all documents; the order of rows doesn't matter."""
+    words = words.where(F.col(words.columns[0]) != F.lit(bytes(BUCKETS))).select(F.col(words.columns[0]).alias("v"))
+    n, least = words.agg(F.count("*"), F.min("v")).first()
+    if not n:
+        return Topics(np.ones(BUCKETS), np.zeros((0, BUCKETS)))
+    df = _summed(words, (1, BUCKETS), lambda counts: (counts > 0).sum(axis=0, keepdims=True))[0]
+    found = Topics(np.log((1 + n) / (1 + df)) + 0.1, np.zeros((0, BUCKETS)))
+    first = lambda v: found.unit(unpacked(pa.array([bytes(v)], pa.binary())))
+    found.centres = first(least)
+
+    def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for part, counts in _blocks(batches):
+            near = np.round((found.unit(counts) @ found.centres.T).max(axis=1), 9)
+            low = near.min()
+            if best is None or low <= best[0]:
+                v = min(part[int(k)].as_py() for k in np.flatnonzero(near == low))
+                best = (low, v) if best is None else min(best, (low, v))
+        if best:
+            yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], ["near", "v"])
+
+    while len(found.centres) < topics:  # the document farthest from all centres is the next
+        next_ = words.mapInArrow(farthest, "near double, v binary").agg(F.min(F.struct("near", "v")).alias("m")).first()["m"]
+        if next_["near"] > 1 - 1e-9:
+            break
+        found.centres = np.vstack([found.centres, first(next_["v"])])
+
+    def by_topic(counts: np.ndarray) -> np.ndarray:
+        x = found.unit(counts)
+        own = (x @ found.centres.T).argmax(axis=1)
+        return (own == np.arange(len(found.centres))[:, None]).astype(float) @ x
+
+    for _ in range(TOPIC_ROUNDS):
+        sums = _summed(words, found.centres.shape, by_topic)
+        sums = np.where(sums.any(axis=1, keepdims=True), sums, found.centres)
+        last, found.centres = found.centres, np.round(sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), 9)
+        if np.linalg.norm(found.centres - last, axis=1).max() < STILL:
+            break
+    return found
+
+
+def word_counts(column: pa.Array) -> pa.Array:
+    return pa.array([x for _, offs, data in _text.slices(column) for x in packed(word_vectors(data, offs))], pa.binary())
+
+
 def learned_topics(docs: DataFrame, key: str, text: str) -> Topics:
+    """Topics of all rows of docs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, offs, data in _text.slices(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32).tobytes() for x in word_vectors(data, offs)], pa.binary())], ["v"])
+            yield pa.RecordBatch.from_arrays([word_counts(b.column(0))], ["v"])
 
-    some = bounded(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "k", TOPIC_DOCS).select("t").mapInArrow(run, "v binary")
-    counts = np.frombuffer(b"".join(bytes(r.v) for r in some.collect()), dtype=np.int32).reshape(-1, BUCKETS)
-    return Topics(counts[counts.any(axis=1)])
+    words = stored(docs.select(text).mapInArrow(run, "v binary"))
+    found = topics_of(words)
+    dropped(words)
+    return found
 
 
 def measured(docs: DataFrame, keep: list[str], key: str, text: str, source: str, lang: str, topic: str | None, tokens: str | None) -> DataFrame:
@@ -101,23 +188,31 @@ def measured(docs: DataFrame, keep: list[str], key: str, text: str, source: str,
     base = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col(source).alias("source"), F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("luck"), (F.col(topic) if topic else F.lit(None).cast("string")).alias("topic"), (F.coalesce(F.col(tokens), F.lit(0)).cast("long") if tokens else F.lit(None).cast("long")).alias("tokens"), F.col(text).alias("text"))
     if topic and tokens:
         return stored(base.drop("text"))
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((None if topic else learned_topics(docs, key, text), None if tokens else token_counts.fitted_counter(docs, key, text)))
-    names = [c for c in base.columns if c != "text"]
+    shared = docs.sparkSession.sparkContext.broadcast(None if tokens else token_counts.fitted_counter(docs, key, text))
     at = {c: base.columns.index(c) for c in base.columns}
+    names = [c for c in at if c != "text" and (topic or c != "topic")] + ([] if topic else ["_v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        topics, counter = shared.value
+        counter = shared.value
         for b in batches:
             new = {}
             texts = b.column(at["text"])
             if counter:
                 new["tokens"] = pa.array([counter.count(x.as_py() or "") for x in texts], pa.int64())
-            if topics:
-                new["topic"] = pa.array([x for _, offs, data in _text.slices(texts) for x in topics.of(word_vectors(data, offs))], pa.string())
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(at[c])) for c in names], names)
+            if not topic:
+                new["_v"] = word_counts(texts)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(at[c]) for c in names], names)
+
+    found = stored(base.mapInArrow(run, ", ".join(f"`{c}` {'binary' if c == '_v' else base.schema[c].dataType.simpleString()}" for c in names)))
+    if topic:
+        return found
+    topics = docs.sparkSession.sparkContext.broadcast(topics_of(found.select("_v")))
+
+    @F.arrow_udf("string")
+    def named(v: pa.Array) -> pa.Array:
+        return pa.array([x for k in range(0, len(v), ROWS) for x in topics.value.of(unpacked(v.slice(k, ROWS)))], pa.string())
 
-    return stored(base.mapInArrow(run, ", ".join(f"`{c}` {base.schema[c].dataType.simpleString()}" for c in names)))
+    return found.withColumn("topic", named("_v")).select(*(c for c in at if c != "text"))
 
 
 def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
