@@ -789,6 +789,15 @@ def test_topics_are_learned_from_all_documents(spark):
     assert np.isclose(topics.weight[hashed], np.log(9_001 / 3_001) + 0.1) and len(topics.centres) == 2
 
 
+def test_the_mixing_stage_learns_topics_from_every_document(spark, monkeypatch):
+    """More documents than the former sample had: the counts of all of them reach the fit."""
+    seen, fitted = [], mixing.topics_of
+    monkeypatch.setattr(mixing, "topics_of", lambda words: seen.append(words.count()) or fitted(words, 1))
+    monkeypatch.setattr(mixing, "TOPIC_ROUNDS", 1)
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(10).alias("n_chars"))
+    assert 4_000 < corpus_pipeline.mixed(spark, docs, "").count() < 5_000 and seen == [9_000]
+
+
 def test_many_cells_are_raked_as_few_are(spark, monkeypatch):
     """Sparse cells, which converge slowly: both paths do the same rounds."""
     rng = random.Random(11)
