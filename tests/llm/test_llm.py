@@ -789,6 +789,19 @@ def test_topics_are_learned_from_all_documents(spark):
     assert np.isclose(topics.weight[hashed], np.log(9_001 / 3_001) + 0.1) and len(topics.centres) == 2
 
 
+def test_logs_are_computed_for_wide_rows_alone(monkeypatch):
+    """A row with counts over a byte does not make its whole block dear; one beyond it is whole, bytes of 255 in wide counts included."""
+    counts = np.random.default_rng(9).integers(0, 255, (50, mixing.BUCKETS))
+    counts[7, [0, 3, 4, 200, -1]] = [255, 65_535, 1 << 24, 256, 0xFFFFFFFF]
+    counts[49, 5], counts[20] = 70_000, 255
+    batch, log1p, cells = pa.RecordBatch.from_arrays([pa.array(mixing.packed(counts), pa.binary())], ["v"]).slice(2), np.log1p, []
+    monkeypatch.setattr(np, "log1p", lambda x: cells.append(np.size(x)) or log1p(x))
+    topics = mixing.Topics(np.ones(mixing.BUCKETS), np.eye(2, mixing.BUCKETS))
+    got = [x for k in range(0, batch.num_rows, 20) for x in topics.of(batch.column(0).slice(k, 20))]
+    assert got == [f"topic{int(a < b)}" for a, b in counts[2:, :2]] and sum(cells) == 3 * mixing.BUCKETS
+    assert (mixing.unpacked(batch.column(0)) == counts[2:]).all() and np.array_equal(mixing.logs(batch.column(0)), log1p(counts[2:]))
+
+
 def test_the_mixing_stage_learns_topics_from_every_document(spark, monkeypatch):
     """More documents than the former sample had: the counts of all of them reach the fit."""
     seen, fitted = [], mixing.topics_of

@@ -42,8 +42,8 @@ ROUNDS, CLOSE = 100, 1e-9
 MARGINS = ("source", "lang", "topic")
 #: Topics, hashed words that tell them, rounds at most, and the move of a centre that ends them.
 TOPICS, BUCKETS, TOPIC_ROUNDS, STILL = 8, 512, 25, 1e-3
-#: Rows of counts that are held as numbers at once.
-ROWS = 512
+#: Rows of counts that are held as numbers at once, and bytes of text that are hashed at once.
+ROWS, HASHED_BYTES = 512, 1 << 16
 
 
 def word_vectors(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -63,58 +63,91 @@ def packed(counts: np.ndarray) -> list[bytes]:
     return [b"".join(bytes([n]) if n < 255 else b"\xff" + int(n).to_bytes(4, "big") for n in x.tolist()) if (y == 255).any() else y.tobytes() for x, y in zip(counts, small, strict=True)]
 
 
+def _wide(x: np.ndarray) -> np.ndarray:
+    """The counts of one row made by `packed` that has some over a byte, last bucket first."""
+    out, at, k = np.zeros(BUCKETS, dtype=np.int64), 0, 0
+    for p in np.flatnonzero(x == 255):
+        if p >= at:  # else it is one of the four bytes
+            out[k : k + p - at] = x[at:p]
+            k += p - at + 1
+            out[k - 1] = int.from_bytes(x[p + 1 : p + 5].tobytes(), "big")
+            at = p + 5
+    out[k:] = x[at:]
+    return out
+
+
+def _split(column: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The rows of counts of a column made by `packed`, in bytes; those that need more are 0 there, and given by row beside it."""
+    arr = _text.as_binary(column)
+    _, offs, data = arr.buffers()
+    offs = np.frombuffer(offs, dtype=np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    data = np.frombuffer(data, dtype=np.uint8)
+    wide = np.flatnonzero(np.diff(offs) != BUCKETS).tolist()
+    if not wide:
+        return data[offs[0] : offs[-1]].reshape(-1, BUCKETS)[:, ::-1], {}
+    out, at = np.zeros((len(arr), BUCKETS), dtype=np.uint8), 0
+    for row in [*wide, len(arr)]:
+        out[at:row] = data[offs[at] : offs[row]].reshape(-1, BUCKETS)
+        at = row + 1
+    return out[:, ::-1], {row: _wide(data[offs[row] : offs[row + 1]])[::-1] for row in wide}
+
+
 def unpacked(column: pa.Array) -> np.ndarray:
     """The rows of counts of a column made by `packed`."""
-    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
-    plain = sizes == BUCKETS
-    out = np.zeros((len(column), BUCKETS), dtype=np.int64 if not plain.all() else np.uint8)
-    if plain.any():
-        out[plain] = np.frombuffer(b"".join(column.filter(pa.array(plain)).to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS)
-    for row in np.flatnonzero(~plain):
-        x, at = column[int(row)].as_py(), 0
-        for k in range(BUCKETS):
-            wide = x[at] == 255
-            out[row, k] = int.from_bytes(x[at + 1 : at + 5], "big") if wide else x[at]
-            at += 5 if wide else 1
-    return out[:, ::-1]
+    small, wide = _split(column)
+    out = small.astype(np.int64) if wide else small
+    for row, x in wide.items():
+        out[row] = x
+    return out
 
 
 _LOGS = np.log1p(np.arange(256))
 
 
+def logs(column: pa.Array) -> np.ndarray:
+    """log(1 + count) of the rows of a column made by `packed`: looked up, but for the rows with a count over a byte."""
+    small, wide = _split(column)
+    out = _LOGS.take(small)
+    for row, x in wide.items():
+        out[row] = np.log1p(x)
+    return out
+
+
 class Topics:
     """Unit vectors of the topics, and the weight of each hashed word."""
 
     def __init__(self, weight: np.ndarray, centres: np.ndarray):
         self.weight, self.centres = weight, centres
 
-    def unit(self, counts: np.ndarray) -> np.ndarray:
-        x = (_LOGS[counts] if counts.dtype == np.uint8 else np.log1p(counts)) * self.weight
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    def weighted(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The vectors of rows of `logs`, made in their place, and the length of each."""
+        x *= self.weight
+        return x, np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)
 
-    def of(self, counts: np.ndarray) -> list[str | None]:
-        """The topic of each row, None without words."""
+    def of(self, column: pa.Array) -> list[str | None]:
+        """The topic of each row of a column made by `packed`, None without words."""
         if not len(self.centres):
-            return [None] * len(counts)
-        best = (self.unit(counts) @ self.centres.T).argmax(axis=1)
-        return [f"topic{k}" if some else None for k, some in zip(best, counts.any(axis=1), strict=True)]
+            return [None] * len(column)
+        x, size = self.weighted(logs(column))
+        best = (x @ self.centres.T).argmax(axis=1)
+        return [f"topic{k}" if some else None for k, some in zip(best, size > 1e-12, strict=True)]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """Packed and unpacked counts, ROWS at a time."""
+    """Packed counts and their logs, ROWS at a time."""
     for b in batches:
         for at in range(0, b.num_rows, ROWS):
             part = b.column(0).slice(at, ROWS)
-            yield part, unpacked(part)
+            yield part, logs(part)
 
 
 def _summed(words: DataFrame, shape: tuple[int, int], add: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """add() of all blocks of counts, summed in the tasks and then by place in Spark."""
+    """add() of the logs of all blocks of counts, summed in the tasks and then by place in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(shape)
-        for _, counts in _blocks(batches):
-            total += add(counts)
+        for _, x in _blocks(batches):
+            total += add(x)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["at", "n"])
 
@@ -130,15 +163,20 @@ def topics_of(words: DataFrame, topics: int = TOPICS) -> Topics:
     n, least = words.agg(F.count("*"), F.min("v")).first()
     if not n:
         return Topics(np.ones(BUCKETS), np.zeros((0, BUCKETS)))
-    df = _summed(words, (1, BUCKETS), lambda counts: (counts > 0).sum(axis=0, keepdims=True))[0]
+    df = _summed(words, (1, BUCKETS), lambda x: (x > 0).sum(axis=0, keepdims=True))[0]
     found = Topics(np.log((1 + n) / (1 + df)) + 0.1, np.zeros((0, BUCKETS)))
-    first = lambda v: found.unit(unpacked(pa.array([bytes(v)], pa.binary())))
+
+    def first(v: bytes) -> np.ndarray:
+        x, size = found.weighted(logs(pa.array([bytes(v)], pa.binary())))
+        return x / size[:, None]
+
     found.centres = first(least)
 
     def farthest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = None
-        for part, counts in _blocks(batches):
-            near = np.round((found.unit(counts) @ found.centres.T).max(axis=1), 9)
+        for part, x in _blocks(batches):
+            x, size = found.weighted(x)
+            near = np.round((x @ found.centres.T).max(axis=1) / size, 9)
             low = near.min()
             if best is None or low <= best[0]:
                 v = min(part[int(k)].as_py() for k in np.flatnonzero(near == low))
@@ -152,10 +190,10 @@ def topics_of(words: DataFrame, topics: int = TOPICS) -> Topics:
             break
         found.centres = np.vstack([found.centres, first(next_["v"])])
 
-    def by_topic(counts: np.ndarray) -> np.ndarray:
-        x = found.unit(counts)
+    def by_topic(x: np.ndarray) -> np.ndarray:
+        x, size = found.weighted(x)
         own = (x @ found.centres.T).argmax(axis=1)
-        return (own == np.arange(len(found.centres))[:, None]).astype(float) @ x
+        return np.where(own == np.arange(len(found.centres))[:, None], 1 / size, 0.0) @ x
 
     for _ in range(TOPIC_ROUNDS):
         sums = _summed(words, found.centres.shape, by_topic)
@@ -167,7 +205,7 @@ def topics_of(words: DataFrame, topics: int = TOPICS) -> Topics:
 
 
 def word_counts(column: pa.Array) -> pa.Array:
-    return pa.array([x for _, offs, data in _text.slices(column) for x in packed(word_vectors(data, offs))], pa.binary())
+    return pa.array([x for _, offs, data in _text.slices(column, HASHED_BYTES) for x in packed(word_vectors(data, offs))], pa.binary())
 
 
 def learned_topics(docs: DataFrame, key: str, text: str) -> Topics:
@@ -210,7 +248,7 @@ def measured(docs: DataFrame, keep: list[str], key: str, text: str, source: str,
 
     @F.arrow_udf("string")
     def named(v: pa.Array) -> pa.Array:
-        return pa.array([x for k in range(0, len(v), ROWS) for x in topics.value.of(unpacked(v.slice(k, ROWS)))], pa.string())
+        return pa.array([x for k in range(0, len(v), ROWS) for x in topics.value.of(v.slice(k, ROWS))], pa.string())
 
     return found.withColumn("topic", named("_v")).select(*(c for c in at if c != "text"))
 
