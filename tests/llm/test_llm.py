@@ -281,6 +281,27 @@ def test_a_long_text_scores_like_its_parts(monkeypatch):
     assert np.allclose(whole, language_id.score_text(t, logp))
 
 
+def test_the_language_stage_learns_from_every_document(spark, monkeypatch):
+    """More documents of a language than the former sample had: the n-grams of all of them are in the model."""
+    models, fit = [], language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda *args: models.append(fit(*args)) or models[-1])
+    docs = spark.range(9_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "ab").otherwise("c d").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(3).alias("n_chars"))
+    assert corpus_pipeline.identified(spark, docs, "").count() == 9_000
+    want = np.full(language_id.BUCKETS, 0.5)
+    for text, n in (("ab", 3_000), ("c d", 6_000)):
+        for size in language_id.SIZES:
+            want += n * np.bincount(language_id.grams(language_id.folded(text), size), minlength=language_id.BUCKETS)
+    [(langs, logp)] = models
+    assert langs == ["en"] and np.allclose(logp[0, :-1], np.log(want / want.sum()), rtol=1e-5)
+
+
+def test_grams_of_many_texts_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(language_id, "SLICE_CHARS", 777)
+    texts = ["", "12 3", "é", "a\0b", "\0", *[t or "" for t in odd_texts(random.Random(4))]]
+    want = sum(np.bincount(language_id.grams(language_id.folded(t), n), minlength=language_id.BUCKETS) for t in texts for n in language_id.SIZES)
+    assert (language_id.gram_counts(texts) == want).all()
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     bad = ["vilewordo", "nastyterm", "slurrish"]
